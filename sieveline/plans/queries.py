@@ -12,7 +12,6 @@ from ..operators import discovery, extract, filters, health, publish, robots, ur
 from ..operators.classify import Lexicon, contract_type
 from ..sources.vendors import parse
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
 NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,6 +23,10 @@ CONFIG = filters.Filters(
 LEXICON = Lexicon((r"license",), (r"ai",), (r"the",), (r"de", r"la"), (r"est", r"is"))
 
 
+def now() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -170,7 +173,7 @@ def _state(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     day = F.when(F.col("seq") % 5 == 0, "2024-01-30 12:00:00").when(F.col("seq") % 5 == 1, "2024-01-24 00:00:00").otherwise("2023-06-01 00:00:00").cast("timestamp")
     jobs = s.select(
         "job_id", "content_fingerprint", "company", "source", "external_id", F.when(F.col("seq") % 10 == 5, "changed").otherwise(F.col("title")).alias("title"), "location", "contract_type", "url", "description", "source_posted_at",
-        F.lit("2023-05-01 00:00:00").cast("timestamp").alias("first_seen_at"), day.alias("last_seen_at"), F.when(F.col("seq") % 2 == 0, day).alias("published_at"), F.when(F.col("seq") % 5 == 2, NOW).alias("disappeared_at"),
+        F.lit("2023-05-01 00:00:00").cast("timestamp").alias("first_seen_at"), day.alias("last_seen_at"), F.when(F.col("seq") % 2 == 0, day).alias("published_at"), F.when(F.col("seq") % 5 == 2, now()).alias("disappeared_at"),
         F.lit(0).alias("is_stale"), F.lit("new").alias("last_verdict"), (F.col("seq") % 2).cast("int").alias("publish_pending"),
     )
     fps = s.groupBy("content_fingerprint").agg(F.lit("2023-05-01 00:00:00").cast("timestamp").alias("first_seen_at"), F.max(day).alias("last_seen_at"), F.min_by("job_id", "seq").alias("origin_job_id"))
@@ -196,7 +199,7 @@ j AS (SELECT job_id, CASE WHEN n.job_id IS NOT NULL THEN n.title ELSE s.title EN
 def _judged(spark, sf):
     b = _batch(spark, sf)
     jobs, fps = _state(b)
-    return verdict.verdicts(b, jobs, fps, NOW), jobs, fps
+    return verdict.verdicts(b, jobs, fps, now()), jobs, fps
 
 
 @query(_B + " SELECT seq, job_id, verdict FROM v")
@@ -212,20 +215,20 @@ def q15_verdict_histogram(spark, sf):
 @query(_B + " SELECT job_id, title, first_seen_at, last_seen_at, published_at, disappeared_at, last_verdict, publish_pending FROM j")
 def q16_next_state(spark, sf):
     d, jobs, _ = _judged(spark, sf)
-    return verdict.next_jobs(d, jobs, NOW).select("job_id", "title", "first_seen_at", "last_seen_at", "published_at", "disappeared_at", "last_verdict", "publish_pending")
+    return verdict.next_jobs(d, jobs, now()).select("job_id", "title", "first_seen_at", "last_seen_at", "published_at", "disappeared_at", "last_verdict", "publish_pending")
 
 
 @query(_B + f", g AS (SELECT content_fingerprint, arg_min(job_id, seq) AS o FROM v GROUP BY 1) SELECT content_fingerprint, CASE WHEN fp.origin_job_id IS NULL THEN {NOW_SQL} ELSE TIMESTAMP '2023-05-01 00:00:00' END AS first_seen_at, CASE WHEN g.o IS NOT NULL THEN {NOW_SQL} ELSE fp.last_seen_at END AS last_seen_at, coalesce(fp.origin_job_id, g.o) AS origin_job_id FROM fp FULL JOIN g USING (content_fingerprint)")
 def q17_fingerprint_state(spark, sf):
     d, _, fps = _judged(spark, sf)
-    return verdict.next_fingerprints(d, fps, NOW)
+    return verdict.next_fingerprints(d, fps, now())
 
 
 @query(_B + f" SELECT s.job_id, CASE WHEN s.disappeared_at IS NULL AND s.company < 'src5' AND NOT EXISTS (SELECT 1 FROM b WHERE b.job_id = s.job_id AND b.company = s.company AND b.seq % 3 = 0) THEN {NOW_SQL} ELSE s.disappeared_at END AS disappeared_at FROM s")
 def q18_mark_absent(spark, sf):
     b = _batch(spark, sf)
     jobs, _ = _state(b)
-    return verdict.mark_absent(jobs, b.where("seq % 3 = 0"), b.where("company < 'src5'"), NOW).select("job_id", "disappeared_at")
+    return verdict.mark_absent(jobs, b.where("seq % 3 = 0"), b.where("company < 'src5'"), now()).select("job_id", "disappeared_at")
 
 
 @query("SELECT o_orderkey, (o_orderdate < TIMESTAMP '1997-01-01 00:00:00' - INTERVAL 90 DAY)::INTEGER AS is_stale FROM orders")
@@ -237,7 +240,7 @@ def q19_age_ghosts(spark, sf):
 @query(_B + " SELECT job_id FROM j WHERE publish_pending = 1 AND disappeared_at IS NULL")
 def q20_pending_backlog(spark, sf):
     d, jobs, _ = _judged(spark, sf)
-    return verdict.pending(verdict.next_jobs(d, jobs, NOW)).select("job_id")
+    return verdict.pending(verdict.next_jobs(d, jobs, now())).select("job_id")
 
 
 @query("WITH g AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) SELECT event_id, CASE WHEN before IS NULL THEN 'new' WHEN date_sub('day', before, ts) > 7 THEN 'resurrection' ELSE 'known' END AS verdict FROM g")
@@ -280,13 +283,13 @@ def q24_empty_board(spark, sf):
 @query(_B + " SELECT seq, job_id, 'seeded' AS verdict FROM b")
 def q25_seed_mode(spark, sf):
     b = _batch(spark, sf)
-    return verdict.verdicts(b, *_state(b), NOW, seed=True).select("seq", "job_id", "verdict")
+    return verdict.verdicts(b, *_state(b), now(), seed=True).select("seq", "job_id", "verdict")
 
 
 @query(_B + " SELECT count(*)::BIGINT AS total, count(published_at)::BIGINT AS published, count(*) FILTER (publish_pending = 1)::BIGINT AS pending, 0::BIGINT AS stale, count(disappeared_at)::BIGINT AS disappeared FROM j")
 def q26_stats(spark, sf):
     d, jobs, _ = _judged(spark, sf)
-    return verdict.state_counts(verdict.next_jobs(d, jobs, NOW))
+    return verdict.state_counts(verdict.next_jobs(d, jobs, now()))
 
 
 @query("SELECT source AS company, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -300,9 +303,9 @@ def q28_recent_top10(spark, sf):
 
 
 @query("""WITH r AS (SELECT s_suppkey, s_nationkey < 5 AS slow, row_number() OVER (PARTITION BY s_nationkey < 5 ORDER BY s_suppkey) AS n, count(*) FILTER (s_nationkey >= 5) OVER () AS fast FROM supplier)
-SELECT s_suppkey, slow AND n > 10 AS skipped, CASE WHEN NOT (slow AND n > 10) THEN n + CASE WHEN slow THEN fast ELSE 0 END END AS run_order FROM r""")
+SELECT s_suppkey, slow AND n > 10 AS skipped, CASE WHEN NOT (slow AND n > 10) THEN n + CASE WHEN slow THEN fast ELSE 0 END ELSE 0 END AS run_order FROM r""")
 def q29_company_order_cap(spark, sf):
-    return urls.ordered_and_capped(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") < 5, "s_suppkey").select("s_suppkey", "skipped", F.col("run_order").cast("long").alias("run_order"))
+    return urls.ordered_and_capped(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") < 5, "s_suppkey").select("s_suppkey", "skipped", F.coalesce("run_order", F.lit(0)).cast("long").alias("run_order"))
 
 
 _A = r"""WITH a AS (SELECT page_id, url, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) AS pos, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM pages)"""
@@ -473,5 +476,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """documents -> filter -> verdicts against a derived state -> counts of the next state by verdict."""
     b = _batch(spark, sf).withColumn("f", filters.apply(filters.Filters(filters.Locations(["en", "fr", "de"]), filters.Keywords(), ["other"])))
     jobs, fps = _state(b)
-    judged = verdict.verdicts(b.where("f.passed").drop("f"), jobs, fps, NOW)
-    return verdict.next_jobs(judged, jobs, NOW).groupBy("last_verdict").agg(F.count("*").alias("n"))
+    judged = verdict.verdicts(b.where("f.passed").drop("f"), jobs, fps, now())
+    return verdict.next_jobs(judged, jobs, now()).groupBy("last_verdict").agg(F.count("*").alias("n"))
