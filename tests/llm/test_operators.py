@@ -1,0 +1,309 @@
+"""Each corpus operator against a brute-force version or an exact round trip, on a small table with the awkward cases."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import common, imatch, jaccard, licenses, mixing, packing, passages, ring, toxicity, vptree, warc
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, __k string, score string, size string, shard string"
+
+
+def words(r, n):
+    return [f"{r.choice('bcdfglmnprst')}{r.choice('aeiou')}{r.choice('bcdfglmnprst')}{r.randrange(60)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(7)
+    passage = " ".join(words(r, 60))
+    base = words(r, 150)
+    out = [(i, " ".join(words(r, r.randrange(3, 120)))) for i in range(60)]
+    out += [(60 + i, " ".join(base[: 20 + i] + ["new"] * (i % 3) + base[21 + i :])) for i in range(12)]
+    out += [(72 + i, " ".join(words(r, 40)) + "\n" + passage + "\n" + " ".join(words(r, 40))) for i in range(4)]
+    out += [(76, ""), (77, None), (78, "  \t\n "), (79, "one"), (80, "One"), (81, out[5][1]), (82, out[5][1]), (83, " ".join(words(r, 9000))), (84, "ünï © ½ " * 9)]
+    return [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or ""), "x", "x", "x", "x") for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DDL).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def sets(rows, k):
+    out = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("limits", [(1024, 512), (3, 2)])  # the second sends groups down the distributed paths
+def test_jaccard_join(docs, nothing, rows, limits, monkeypatch):
+    monkeypatch.setattr(jaccard, "BALL", limits[0])
+    monkeypatch.setattr(jaccard, "LOCAL", limits[1])
+    s = sets(rows, 4)
+    root = {i: i for i in s}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op6(docs).collect()}
+    assert got == {i: (len(s[i]), find(i)) for i in s}
+    assert jaccard.op6(nothing).count() == 0
+
+
+def test_one_of_each_keeps_columns_and_null_ids(spark, docs):
+    more = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    out = jaccard.one_of_each(more)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert ids.count(5) == 1 and 81 not in ids and ids.count(None) == 1
+
+
+def test_passages(docs, nothing, rows):
+    seen, need = {}, defaultdict(set)
+    for i, t, *_ in sorted(rows, key=lambda x: x[0]):
+        w = (t or "").encode().lower().split()
+        for j in range(len(w) - 50):
+            key = tuple(w[j : j + 51])
+            if seen.setdefault(key, i) != i:
+                need[i].update(range(j, j + 51))
+    got = defaultdict(set)
+    for r in passages.find(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    for i in need:
+        assert len(need[i] & got[i]) >= 0.95 * len(need[i])
+    assert not set(got) & set(range(60))  # texts that share nothing are left alone
+    assert passages.find(nothing).count() == 0
+    left = {r.doc_id: r for r in passages.cut_out(docs, passages.find(docs)).collect()}
+    assert 82 not in left or len(left[82].text) < 10 or (5 not in need)
+    assert len(left[73].text.split()) == 80 and left[73].n_chars == len(left[73].text)
+    assert left[72].text == next(r[1] for r in rows if r[0] == 72) and 77 in left
+
+
+def test_chain_is_the_best_of_all():
+    r = random.Random(3)
+    for _ in range(30):
+        x, y = np.array([r.randrange(60) for _ in range(9)]), np.array([r.randrange(60) for _ in range(9)])
+        best = 0.0
+        for m in range(1, 1 << 9):
+            p = sorted((int(x[i]), int(y[i])) for i in range(9) if m >> i & 1)
+            if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(p, p[1:])):
+                best = max(best, 5.0 * len(p) - passages.GAP * (p[-1][0] - p[0][0] + p[-1][1] - p[0][1]))
+        c = passages.chains(x, y, 5.0)
+        first = c[0]
+        got = 5.0 * len(first) - passages.GAP * (x[first[-1]] - x[first[0]] + y[first[-1]] - y[first[0]])
+        assert abs(got - best) < 1e-9 and sorted(i for p in c for i in p) == list(range(9))
+
+
+def test_ring(docs, nothing, rows):
+    out = ring.op3(docs).collect()
+    assert len(out) == len(rows)
+    n = Counter(r.shard for r in out)
+    assert max(n.values()) - min(n.values()) <= 1 and set(n) == set(range(8))
+    for s in n:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(n[s]))
+    text = {r[0]: (r[1] or "").encode() for r in rows}
+    assert all((r.size, r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id])) for r in out)
+    assert ring.op3(nothing).count() == 0
+
+
+def test_ring_walk_is_sequential_and_moves_little(spark):
+    keys = spark.range(4000)
+    at = {n: {r.id: r.shard for r in ring.shard_keys(keys, [F.col("id")], n, 64, 0.25).collect()} for n in (8, 9)}
+    assert max(Counter(at[8].values()).values()) <= 4000 * 1.25 / 8 + 2
+    assert sum(at[8][i] != at[9][i] for i in at[8]) < 0.35 * 4000
+    points = ring.ring_points(3, 4)
+    counts = {a: 5 for a in range(len(points))}
+    runs = ring.plan(counts, points, ring.even_capacity(60, 3))
+    assert sum(b - a for _, a, b, _, _ in runs) == 60
+
+
+def test_mixing(docs, nothing, rows):
+    out = mixing.op9(docs).collect()
+    size = {r[0]: len((r[1] or "").encode().split()) for r in rows}
+    assert {r.doc_id: r["size"] for r in out} == size
+    of = {r[0]: r[3] for r in rows}
+    total = Counter()
+    for i in size:
+        total[of[i]] += size[i]
+    names = sorted(x for x in total if x is not None) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    free, target, left = set(names), {}, 1.5 * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * total[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 2 * total[s]
+            left -= target[s]
+        free -= over
+    taken = Counter()
+    for r in out:
+        assert r.target == pytest.approx(target[of[r.doc_id]]) and r.taken in (0, r["size"], 2 * r["size"])
+        taken[of[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 2 * max(size[i] for i in size if of[i] == s)
+    assert sorted(map(tuple, mixing.op9(docs).collect()), key=str) == sorted(map(tuple, out), key=str)
+    assert mixing.op9(nothing).count() == 0
+    copies = Counter(r.doc_id for r in mixing.mix_in(docs).collect())
+    want = {r.doc_id: r.taken // r["size"] for r in out if r["size"]}
+    assert sum(abs(copies[i] - want[i]) for i in want) <= len(names) * 4
+
+
+def test_packing(docs, nothing, rows):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.default_tokenizer())
+    out = defaultdict(list)
+    for r in packing.op4(docs, 512).collect():
+        out[r.doc_id].append(r)
+    bins = defaultdict(list)
+    for i, t, *_ in rows:
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 1]
+        got = sorted(out[i], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in got] == [(p, a, len(ids[a : a + 512]), zlib.crc32(np.array(ids[a : a + 512], "<u4").tobytes())) for p, a in enumerate(range(0, len(ids), 512))]
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 512
+    total = sum(n for p in bins.values() for _, n in p)
+    assert len(bins) <= -(-total // 512) * 1.2 + 1
+    assert packing.op4(nothing).count() == 0
+
+
+def test_plan_is_best_fit():
+    r = random.Random(1)
+    for _ in range(20):
+        counts = Counter(r.randrange(1, 101) for _ in range(200))
+        rooms: list[int] = []
+        for n in sorted(counts.elements(), reverse=True):
+            fits = [x for x in rooms if x >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(100 - n)
+        runs = packing.plan(counts, 100)
+        used = {s + (k - a) // e for _, a, b, s, e, _ in runs for k in range(a, b)}
+        assert len(used) == len(rooms)
+
+
+def test_toxicity(spark, nothing):
+    r = random.Random(5)
+    rows = [(i, " ".join(words(r, 40) + (["grumble", "grumbler"] if i % 6 == 0 else []))) for i in range(600)]
+    d = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "grumble")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(0, 600, 2)] + [(1, 1, None), (0, 0, 1)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.op5(d, labels).collect()}
+    assert len(out) == 603 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out.values())
+    assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
+    right = [out[i].predicted == (i % 6 == 0) for i in range(600) if out[i].held_out]
+    assert sum(right) >= 0.95 * len(right)
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {i: r.score for i, r in out.items()} == {r.doc_id: r.score for r in toxicity.op5(d, flipped).collect()}
+    assert toxicity.op5(nothing, labels).count() == 0
+    assert {r.predicted for r in toxicity.op5(d, labels.where("false")).collect()} == {0}
+
+
+def test_vantage_points(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(900, 8)).astype("float32")
+    x[300:500] = x[300]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(1000, None), (1100, [0.0] * 8), (1200, [float("nan")] * 8), (1300, [1.0, 2.0]), (None, [1.0] * 8)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    q = vptree.usable(d, "vec_id", "embedding")
+    for row in vptree.nearest(q, q.where("id % 100 = 0"), 10, 1.0, 200).collect():
+        got[row.query_id].append((row["rank"], row.vec_id, row.score))
+    x = x.astype(float)
+    for i in range(0, 900, 100):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = [j for j in np.lexsort((np.arange(900), d)) if j != i][:10]
+        assert [v for _, v, _ in sorted(got[i])] == want
+    assert set(got) == set(range(0, 900, 100))  # the one vector of another dimension has no neighbours
+    found = total = 0
+    for row in vptree.nearest(q, q.where("id % 100 = 0"), 10, 0.7, 200).collect():
+        found += (row["rank"], row.vec_id) in {(a, b) for a, b, _ in got[row.query_id]}
+        total += 1
+    assert total == 90 and found >= 0.5 * total
+
+
+def test_imatch(spark, docs, nothing, rows):
+    out = {r.doc_id: r for r in imatch.op8(docs, 3).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    import hashlib
+
+    for i, (d, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        assert out[d].edited_sha256 == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest() and out[d].n_chars == len(t)
+    assert out[5].fingerprint == out[81].fingerprint == out[82].fingerprint != out[6].fingerprint
+    assert np.mean([out[i].near_edited for i in range(60)]) > 0.25 > 0.05 > np.mean([out[i].near_next for i in range(60)])
+    assert imatch.op8(nothing).count() == 0
+    terms = imatch.lexicon(docs, 1 / 10, 1 / 2)
+    n = Counter(w for r in rows for w in set(common.words_of(r[1])))
+    assert len(terms) == sum(len(rows) / 10 <= c <= len(rows) / 2 for c in n.values())
+
+
+def test_licenses(spark, nothing):
+    cases = [("some text\nReleased under the MIT License.\nmore", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL"), ("the license of the house", ""), (None, ""), ("", ""), ("Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,CC-BY-NC")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.families for r in licenses.op10(d).orderBy("doc_id").collect()] == [f for _, f in cases]
+    assert licenses.op10(nothing).count() == 0
+
+
+def test_warc(spark):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nX-A: 1\r\n 2\r\n\r\n<p>caf\xe9 &amp; <b>bar</b></p><script>x</script><div>y</div>"
+    d = spark.createDataFrame([("<urn:1>", "https://a.example/", "2024-01-01T00:00:00Z", bytearray(block)), (None, None, None, None), ("<urn:2>", "u", "d", bytearray(b"no headers"))], "record_id string, target_uri string, date string, block binary")
+    out = [r.asDict() for r in warc.derivatives(d).collect()]
+    assert len(out) == 6
+    meta, conv = (next(r for r in out if r["refers_to"] == "<urn:1>" and r["record_type"] == k) for k in ("metadata", "conversion"))
+    assert conv["content"] == "café & bar\ny" and conv["block_digest"] == warc.digest("café & bar\ny".encode())
+    assert meta["source_block_digest"] == warc.digest(block) and "http-header-x-a: 1 2\r\n" in meta["content"] and conv["record_id"] in meta["content"]
+    assert conv["http_status"] == 200 and [h["name"] for h in conv["source_headers"]] == ["Content-Type", "X-A"]
+    import gzip
+
+    head, _, body = gzip.decompress(warc.serialize(conv)).partition(b"\r\n\r\n")
+    assert b"WARC-Refers-To: <urn:1>" in head and body == "café & bar\ny".encode() + b"\r\n\r\n"
+    assert warc.op1(spark.createDataFrame([(1, None, None), (1, None, None)], "page_id long, url string, html string")).count() == 4
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = common.read_table(spark, sf, "documents")
+    d = docs
+    for _, stage in cp.STAGES[:-1]:
+        d = common.materialize(stage(spark, d, sf), "stage")
+        assert d.columns == docs.columns
+    packed = cp.run(spark, sf)
+    ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
+    assert ids == {r.doc_id for r in d.select("doc_id").distinct().collect()}
+    empty = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, sf).count() == 0
