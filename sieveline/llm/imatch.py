@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, small_frame, tune, words_of
+from .common import CACHE_WORDS, WordHashes, mix, small_frame, tune, words_of
 
 #: A term's share of documents: the band of inverse document frequency is [log(1 / HIGH), log(1 / LOW)].
 LOW, HIGH = 1 / 2000, 1 / 10
@@ -67,10 +68,9 @@ def memberships(terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashes(terms: np.ndarray, member: np.ndarray) -> str:
-    """terms: sorted. The hash of each subset's terms in their order; dashes where a subset has none."""
+def hashes(terms: np.ndarray, slot: np.ndarray, at: np.ndarray) -> str:
+    """The hash of each subset's terms in their order; dashes where a subset has none. terms: sorted; terms[at] are in slot, which is in order, and so is at within a slot."""
     out = ["-" * SLOT] * (RATES * EACH)
-    slot, at = np.nonzero(member.T)
     if len(slot):
         first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         rank = np.arange(len(slot)) - np.repeat(first, np.diff(np.r_[first, len(slot)]))
@@ -96,26 +96,50 @@ def likeness(a: str, b: str) -> float:
 
 
 class Prints:
-    """Fingerprints of texts, by a lexicon and its memberships."""
-
-    def __init__(self, terms: np.ndarray, member: np.ndarray):
-        self.terms, self.member, self.hash = terms, member, WordHashes()
+    """Fingerprints of texts, by a lexicon. Broadcast as it is, so that a worker keeps what it remembers from task to task."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, self.hash = terms, WordHashes()
+        each, self.slots = np.nonzero(memberships(terms))
+        self.slots = self.slots.astype(np.uint8)
+        self.ends = np.r_[0, np.cumsum(np.bincount(each, minlength=len(terms)))].astype(np.int64)
+        self.places: dict[bytes, int] = {}  # of words in the lexicon; -1: not in it
+
+    def positions(self, words: set[bytes]) -> np.ndarray:
+        """Where the words that the lexicon has are in it, in order."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64)
+        if len(self.places) >= CACHE_WORDS:
+            self.places.clear()
+        if new := list(words.difference(self.places)):
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+            self.places.update(zip(new, np.where(self.terms[at] == h, at, -1).tolist(), strict=True))
+        at = np.sort(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)))
+        at = at[np.searchsorted(at, 0) :]
+        return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
     def of(self, text: str) -> str:
-        h = np.unique(self.hash.of(list(set(words_of(text)))))
-        at = np.searchsorted(self.terms, h)
-        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == h] if len(self.terms) else at[:0]
-        return hashes(self.terms[at], self.member[at]) if len(at) else hashes(h, memberships(h))
+        words = set(words_of(text))
+        at = self.positions(words)
+        if not len(at):
+            h = np.unique(self.hash.of(list(words)))
+            return hashes(h, *np.nonzero(memberships(h).T))
+        n = self.ends[at + 1] - self.ends[at]
+        before = np.cumsum(n) - n
+        slot = self.slots[np.repeat(self.ends[at] - before, n) + np.arange(n.sum())]
+        order = np.argsort(slot, kind="stable")
+        return hashes(self.terms[at], slot[order], np.repeat(np.arange(len(at)), n)[order])
 
 
 def fingerprints(texts: DataFrame, terms: np.ndarray) -> DataFrame:
     """texts with fingerprint; the other columns are kept."""
     tune(texts.sparkSession)
-    share = texts.sparkSession.sparkContext.broadcast((terms, memberships(terms)))
+    share = texts.sparkSession.sparkContext.broadcast(Prints(terms))
     at = texts.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Prints(*share.value)
+        prints = share.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([prints.of(t or "") for t in b.column(at).to_pylist()], pa.string())], [*b.schema.names, "fingerprint"])
 
@@ -136,7 +160,7 @@ def op8(documents: DataFrame, most_ranges: int = 4096) -> DataFrame:
     """Documents go once to ranges of doc_id; each range also gets the first row of the next, so that every row meets the one that follows."""
     spark = documents.sparkSession
     terms = lexicon(documents)
-    share = spark.sparkContext.broadcast((terms, memberships(terms)))
+    share = spark.sparkContext.broadcast(Prints(terms))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"))
     ids = docs.select("o")
     want = min(most_ranges, 4 * max(8, documents.rdd.getNumPartitions()))
@@ -150,7 +174,7 @@ def op8(documents: DataFrame, most_ranges: int = 4096) -> DataFrame:
     dealt = docs.withColumn("copy", F.lit(False)).unionByName(copies).repartition("range").sortWithinPartitions("range", "copy", F.desc("o"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Prints(*share.value)
+        prints = share.value
         last, rows = None, []
 
         def flush():
