@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, WordHashes, mix, small_frame, tune, words_of
+from .common import WordHashes, mix, small_frame, tune, words_of
 
 #: A term's share of documents: the band of inverse document frequency is [log(1 / HIGH), log(1 / LOW)].
 LOW, HIGH = 1 / 2000, 1 / 10
 RATES = 8
 EACH = 12
+#: Words whose places a worker remembers; beyond that it starts anew.
+CACHE_PLACES = 300_000
 SLOT = 4  # hex digits
 
 
@@ -109,7 +111,7 @@ class Prints:
         """Where the words that the lexicon has are in it, in order."""
         if not len(self.terms):
             return np.zeros(0, np.int64)
-        if len(self.places) >= CACHE_WORDS:
+        if len(self.places) >= CACHE_PLACES:
             self.places.clear()
         if new := list(words.difference(self.places)):
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
