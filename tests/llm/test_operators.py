@@ -307,3 +307,16 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_runs_are_encoded_as_in_whole_texts():
+    """Runs with the mark, or whose normal form is the mark, special tokens, control characters and other white space."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["", None, " a `b c` ` `` d", "` ́x é ` z", "<|endoftext|> x<|startoftext|>y ", "\x1cf\x1dg \x0bx\x0cy\x85z w it's don't", "a" * 5000]
+    runs = packing.ChunkIds(packing.default_tokenizer())
+    for _ in range(2):  # unseen, then remembered
+        ids, ends = runs.encode(texts)
+        for i, t in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids
