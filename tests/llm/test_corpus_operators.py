@@ -98,6 +98,29 @@ def test_passages(docs, nothing, rows):
     assert left[72].text == next(r[1] for r in rows if r[0] == 72) and 77 in left
 
 
+def covered(spark, texts):
+    """doc_id -> the words of it that passages.find reports."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in passages.find(docs).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    return got
+
+
+def test_passage_before_a_shared_line(spark):
+    texts, r = {}, random.Random(11)
+    word = lambda: f"w{r.randrange(10**9)}"
+    for n in range(40):
+        shared, line = [word() for _ in range(60)], [word() for _ in range(3)]
+        for side in (0, 1):
+            filler = [[word() for _ in range(20)] for _ in range(3)]
+            texts[2 * n + side] = " ".join(filler[0] + (line + filler[1] if n % 2 else []) + shared + filler[2] + line)
+    got = covered(spark, texts)
+    for n in range(40):
+        at = 43 if n % 2 else 20
+        assert got[2 * n + 1] == set(range(at, at + 60))
+
+
 def test_chain_is_the_best_of_all():
     r = random.Random(3)
     for _ in range(30):
