@@ -121,6 +121,32 @@ def test_passage_before_a_shared_line(spark):
         assert got[2 * n + 1] == set(range(at, at + 60))
 
 
+def test_passage_whose_seeds_smaller_documents_have(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    shared = [word() for _ in range(55)]
+    texts = {i + 1: " ".join([word() for _ in range(20)] + shared[i : i + 5] + [word() for _ in range(20)]) for i in range(51)}
+    for i in (100, 101):
+        texts[i] = " ".join([word() for _ in range(30)] + shared + [word() for _ in range(30)])
+    assert covered(spark, texts) == {101: set(range(30, 85))}
+
+
+def test_links(spark):
+    r = random.Random(5)
+    rows = sorted({(r.randrange(12), r.randrange(9), r.randrange(3)) for _ in range(200)})
+    want = []
+    for h, d, at in rows:
+        less = sorted({x[1] for x in rows if x[0] == h and x[1] < d})
+        for m in sorted({less[0], less[-1]}) if less else []:
+            want.append((d, at, m, min(x[2] for x in rows if x[:2] == (h, m)), m != less[0]))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("3", "2000"):  # what a seed has may lie in several batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = passages.links(spark.createDataFrame(rows, "h long, doc_id long, at long")).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_chain_is_the_best_of_all():
     r = random.Random(3)
     for _ in range(30):
