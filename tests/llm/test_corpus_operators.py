@@ -147,6 +147,19 @@ def test_links(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("every, inserted, least", [(10, False, 0.99), (8, False, 0.95), (6, False, 0.5), (10, True, 0.99)])
+def test_passages_with_changed_words(spark, every, inserted, least):
+    texts, r = {}, random.Random(13)
+    word = lambda: f"w{r.randrange(10**9)}"
+    for n in range(100):
+        shared = [word() for _ in range(60)]
+        changed = [x for i, w in enumerate(shared) for x in (([w, word()] if inserted else [word()]) if i % every == every // 2 else [w])]
+        for side, part in enumerate((shared, changed)):
+            texts[2 * n + side] = " ".join([word() for _ in range(30)] + part + [word() for _ in range(30)])
+    got = covered(spark, texts)
+    assert sum(len(got[2 * n + 1]) >= 50 for n in range(100)) >= 100 * least
+
+
 def test_chain_is_the_best_of_all():
     r = random.Random(3)
     for _ in range(30):
