@@ -137,16 +137,83 @@ def test_links(spark):
     want = []
     for h, d, at in rows:
         less = sorted({x[1] for x in rows if x[0] == h and x[1] < d})
-        for m in sorted({less[0], less[-1]}) if less else []:
-            want.append((d, at, m, min(x[2] for x in rows if x[:2] == (h, m)), m != less[0]))
+        for m in sorted({less[0], less[-1]} if h % 2 == 0 else {less[0]}) if less else []:
+            want.append((d, at, m, min(x[2] for x in rows if x[:2] == (h, m)), passages.LONG if h % 2 else passages.FIRST if m == less[0] else passages.SECOND))
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = [(99, 5, 1, 2, 3, 1)]
     for n in ("3", "2000"):  # what a seed has may lie in several batches
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-        got = passages.links(spark.createDataFrame(rows, "h long, doc_id long, at long")).collect()
-        assert sorted(map(tuple, got)) == sorted(want)
+        got = passages.links(spark.createDataFrame([(*x, None, None, None) for x in rows] + made, passages.SEED)).collect()
+        assert sorted(map(tuple, got)) == sorted([*want, made[0][1:]])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_a_buffer_matches_what_many_have():
+    rows = [(h, d, d * 10 + p << 32) for h in (6, 7) for d in range(12) for p in range(2)] + [(9, d, 5 << 32) for d in range(3)]
+    out = passages.combined(*(np.array(c, np.int64) for c in zip(*rows))).to_pylist()
+    left = [(x["h"], x["doc_id"]) for x in out if x["match_id"] is None]
+    assert sorted(left) == [(6, 0), (6, 0), (7, 0), (7, 0), (9, 0), (9, 1), (9, 2)]
+    links = [(x["doc_id"], x["match_id"], x["kind"]) for x in out if x["match_id"] is not None]
+    want = [(d, 0, k) for d in range(1, 12) for k in (passages.LONG, passages.FIRST)] + [(d, d - 1, passages.SECOND) for d in range(2, 12)]
+    assert Counter(links) == Counter({x: 2 for x in want}) and all(x["match_at"] >> 32 == 10 * x["match_id"] for x in out if x["match_id"] is not None)
+
+
+def test_no_run_is_lost_between_holders_of_its_pieces(spark):
+    """60 equal words, of which six smaller documents have a piece of 19 each; then pieces of 45 words that overlap."""
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(10**9)}"
+    filler = lambda n: [word() for _ in range(n)]
+    shared, other = filler(60), filler(100)
+    texts = {i: " ".join(filler(20) + shared[at : at + 19] + filler(20)) for i, at in enumerate(range(0, 48, 8))}
+    texts |= {20 + i: " ".join(filler(20) + other[at : at + 45] + filler(20)) for i, at in enumerate((0, 30, 55))}
+    for i in (100, 101):
+        texts[i] = " ".join(filler(30) + shared + filler(30) + other + filler(10))
+    got = covered(spark, texts)
+    assert set(got) == {101, 100} and got[101] >= set(range(30, 90)) | set(range(120, 220)) and got[100] <= set(range(120, 220))
+
+
+def test_every_exact_run_is_found(spark):
+    """Against brute force over all runs of 50 words."""
+    documents = common.read_table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
+    seen, need = {}, defaultdict(set)
+    for i in sorted(texts):
+        w = texts[i]
+        for j in range(len(w) - 49):
+            if seen.setdefault(tuple(w[j : j + 50]), i) != i:
+                need[i].update(range(j, j + 50))
+    got = defaultdict(set)
+    for r in passages.find(documents).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert need and sum(len(need[i] - got[i]) for i in need) == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    r = random.Random(15)
+    filler = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    shared = filler(60)
+    rows = [(1, f"{filler(30)} {shared}"), (2, f"a {filler(30)} {shared} {filler(5)}"), (2, "z " * 20 + shared), (None, shared), (3, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'kept' AS __id", "1 AS __spans", "'x' AS exact", "length(text) AS n_chars")
+    found = passages.find(d)
+    assert {(x.doc_id, x.start_word, x.end_word) for x in found.collect()} == {(2, 31, 91)}
+    out = passages.cut_out(d, found)
+    assert out.columns == d.columns and {x["__id"] for x in out.collect()} == {"kept"}
+    assert sorted((x.text or "").count(" ") for x in out.where("doc_id = 2").collect()) == [36, 79]
+    assert out.where("doc_id IS NULL").first().text == shared and out.count() == 6
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 0.97), (0.1, 0.9), (0.15, 0.7)])
+def test_passages_with_words_changed_at_random(spark, share, least):
+    texts, r = {}, random.Random(16)
+    word = lambda: f"w{r.randrange(10**9)}"
+    for n in range(100):
+        shared = [word() for _ in range(80)]
+        for side, part in enumerate((shared, [word() if r.random() < share else w for w in shared])):
+            texts[2 * n + side] = " ".join([word() for _ in range(60)] + part + [word() for _ in range(60)])
+    got = covered(spark, texts)
+    assert sum(len(got[2 * n + 1] & set(range(60, 140))) >= 40 for n in range(100)) >= 100 * least
+
+
 @pytest.mark.parametrize("every, inserted, least", [(10, False, 0.99), (8, False, 0.95), (6, False, 0.5), (10, True, 0.99)])
 def test_passages_with_changed_words(spark, every, inserted, least):
     texts, r = {}, random.Random(13)
