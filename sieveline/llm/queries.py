@@ -35,5 +35,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import OP9_SQL
+    from .vptree import OP7_SQL
 
-    return {"op9_systematic_mixing": OP9_SQL}
+    return {"op7_vantage_point_trees": OP7_SQL, "op9_systematic_mixing": OP9_SQL}

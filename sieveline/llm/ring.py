@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_frame
 
 RING = 1 << 30
-CELLS = 16
+#: Cells of an arc, and rows of a cell from which on there are more.
+CELLS, CELL_ROWS = 16, 1_000_000
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -90,9 +91,10 @@ def shard_keys(df: DataFrame, key: list[Column], shards: int, vnodes: int = 128,
     spark = df.sparkSession
     points = ring_points(shards, vnodes)
     place = F.pmod(F.xxhash64(*key, F.lit("ring")), F.lit(RING))
+    arc_cells = max(CELLS, -(-df.count() // (len(points) * CELL_ROWS)))
     marked = df.withColumn("__place", place)
-    keyed = marked.withColumn("__arc", arc_of(F.col("__place"), points)).withColumn("__cell", F.pmod(F.xxhash64(*key, F.lit("cell")), F.lit(CELLS)).cast("int"))
-    cells = keyed.groupBy("__arc", "__cell").count().collect()  # at most shards x vnodes x CELLS rows
+    keyed = marked.withColumn("__arc", arc_of(F.col("__place"), points)).withColumn("__cell", F.pmod(F.xxhash64(*key, F.lit("cell")), F.lit(arc_cells)).cast("int"))
+    cells = keyed.groupBy("__arc", "__cell").count().collect()  # at most shards x vnodes x CELLS rows, or a row for CELL_ROWS keys
     counts: dict[int, int] = {}
     firsts = []
     for r in sorted(cells, key=lambda r: (r["__arc"], r["__cell"])):

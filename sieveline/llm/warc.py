@@ -1,12 +1,16 @@
 """Web-archive derivatives: each response record gives a metadata record and a plain-text conversion record.
 
 Both name the response they refer to (identifier, target and date) and carry its headers and digests on. A response is
-(record_id, target_uri, date, block): block holds the HTTP status line, headers, an empty line and the payload.
+(record_id, target_uri, date, block): block holds the HTTP status line, headers, an empty line and the payload. Where it
+also has warc_headers (an array of name and value), the record's own headers, they are carried on, and the digests that
+they state are preserved as they stand; digests that they lack are computed. Text comes from the payload after its
+transfer coding (chunked) and content codings (gzip, deflate) are undone; where a coding is broken, from what could be read.
 
 Defined cases: a null block is an empty one; a block without an end of headers is all payload, without status or
 headers; a null target or date leaves that header out; the text of an empty payload is empty, and its record has
 length 0; bytes that don't fit the declared charset are replaced; repeated rows give the same records again; an empty
 table gives none; columns other than the named ones and `keep` are not read.
+Names in `keep` that the result has must be renamed before.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +59,50 @@ def split_block(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]
     return int(status[1]) if status else None, headers, block[m.end() :]
 
 
+def dechunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            return data if not out else b"".join(out)
+        if not n:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def inflated(data: bytes, bits: int) -> bytes | None:
+    """What can be read of one or more members; None if nothing can."""
+    out = []
+    while data:
+        d = zlib.decompressobj(bits)
+        try:
+            for at in range(0, len(data), 1 << 16):
+                out.append(d.decompress(data[at : at + (1 << 16)]))
+            out.append(d.flush())
+        except zlib.error:
+            break
+        if not d.eof or bits < 0:
+            break
+        data = d.unused_data
+    return b"".join(out) or None
+
+
+def body(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content codings. Payloads that don't have what the headers say stay as they are."""
+    of = {n.lower(): v.lower() for n, v in headers}
+    if "chunked" in of.get("transfer-encoding", ""):
+        payload = dechunked(payload)
+    for coding in reversed(of.get("content-encoding", "").split(",")):
+        if coding.strip() in ("gzip", "x-gzip"):
+            payload = inflated(payload, 31) or payload
+        elif coding.strip() == "deflate":
+            payload = inflated(payload, 15) or inflated(payload, -15) or payload
+    return payload
+
+
 def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
     said = next((v for n, v in headers if n.lower() == "content-type"), "").encode("latin-1", "replace")
     m = CHARSET.search(said) or CHARSET.search(payload[:1024])
@@ -65,37 +114,43 @@ def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text, a line for each block; runs of white space are one space; no empty lines."""
-    t = BREAKS.sub("\n", CELL.sub("\t", HIDDEN.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(TAG.sub("", t)).split("\n"))
+    t = CELL.sub("\t", HIDDEN.sub(" ", page))
+    # no tag ends behind the last >; looking for one there from every < would take quadratic time
+    end = t.rfind(">") + 1
+    t = TAG.sub("", BREAKS.sub("\n", t[:end])) + t[end:]
+    lines = (" ".join(x.split()) for x in html.unescape(t).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 FIELDS = [
     ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("refers_to_target_uri", pa.string()), ("refers_to_date", pa.string()),
     ("content_type", pa.string()), ("content_length", pa.int64()), ("block_digest", pa.string()), ("source_block_digest", pa.string()), ("source_payload_digest", pa.string()),
-    ("http_status", pa.int32()), ("source_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content", pa.string()),
+    ("http_status", pa.int32()), ("source_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
+    ("source_warc_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content", pa.string()),
 ]
 DDL = (
     "record_type string, record_id string, refers_to string, refers_to_target_uri string, refers_to_date string, content_type string, content_length long, block_digest string, "
-    "source_block_digest string, source_payload_digest string, http_status int, source_headers array<struct<name: string, value: string>>, content string"
+    "source_block_digest string, source_payload_digest string, http_status int, source_headers array<struct<name: string, value: string>>, source_warc_headers array<struct<name: string, value: string>>, content string"
 )
 
 
-def derive(record_id: str | None, target: str | None, date: str | None, block: bytes | None) -> list[tuple]:
+def derive(record_id: str | None, target: str | None, date: str | None, block: bytes | None, warc: list[dict] | None = None) -> list[tuple]:
     block = block or b""
     status, headers, payload = split_block(block)
-    whole, part = digest(block), digest(payload)
-    text = plain_text(decoded(payload, headers))
+    stated = {(h["name"] or "").lower(): h["value"] for h in warc or [] if h}
+    whole, part = stated.get("warc-block-digest") or digest(block), stated.get("warc-payload-digest") or digest(payload)
+    text = plain_text(decoded(body(payload, headers), headers))
     kind = next((v for n, v in headers if n.lower() == "content-type"), None)
     lines = [("derived-conversion", own("conversion", record_id, whole)), ("source-block-digest", whole), ("source-payload-digest", part), ("payload-length", str(len(payload)))]
     lines += [("http-status", str(status))] * (status is not None) + [("http-content-type", kind)] * (kind is not None)
     lines += [(f"http-header-{n.lower()}", v) for n, v in headers]
+    lines += [(f"warc-header-{n}", v) for n, v in stated.items() if v is not None]
     fields = "".join(f"{n}: {v}\r\n" for n, v in lines)
     said = [{"name": n, "value": v} for n, v in headers]
     out = []
     for name, mime, content in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", text)):
         data = content.encode("utf-8", "replace")
-        out.append((name, own(name, record_id, whole), record_id, target, date, mime, len(data), digest(data), whole, part, status, said, content))
+        out.append((name, own(name, record_id, whole), record_id, target, date, mime, len(data), digest(data), whole, part, status, said, warc, content))
     return out
 
 
@@ -108,14 +163,18 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
     """responses (record_id, target_uri, date strings, block binary) -> two rows each; `keep` names columns to carry along."""
     tune(responses.sparkSession)
     keep = keep or []
-    given = responses.select(*keep, "record_id", "target_uri", "date", "block")
+    if clash := sorted({c.lower() for c in keep} & {n for n, _ in FIELDS}):
+        raise ValueError(f"rename the columns {clash} first")
+    more = [F.transform("warc_headers", lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value"))).alias("warc_headers")] if "warc_headers" in responses.columns else []
+    columns = 4 + len(more)
+    given = responses.select(*keep, "record_id", "target_uri", "date", "block", *more)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)]] + [DDL])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                rows = [r for x in zip(*(part.column(len(keep) + i).to_pylist() for i in range(4)), strict=True) for r in derive(*x)]
+                rows = [r for x in zip(*(part.column(len(keep) + i).to_pylist() for i in range(columns)), strict=True) for r in derive(*x)]
                 twice = pa.array([i // 2 for i in range(2 * part.num_rows)])
                 made = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(twice) for i in range(len(keep))), *made], [*keep, *(n for n, _ in FIELDS)])

@@ -381,6 +381,33 @@ def test_vantage_points(spark):
     assert total == 90 and found >= 0.5 * total
 
 
+def test_repeated_queries_and_rows(spark):
+    """Against the SQL, with repeated ids, copies and several dimensions; equal query rows are one query."""
+    import duckdb
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(c)) for c in r.normal(size=4)]) for i in range(350)]
+    rows += [(350 + i, rows[200][1]) for i in range(60)] + [(100, rows[7][1])] + [(700 + i, [1.0, float(i)]) for i in range(12)]
+    embeddings = pd.DataFrame({"vec_id": [i for i, _ in rows], "embedding": [v for _, v in rows]})
+    want = duckdb.sql(vptree.OP7_SQL).fetchall()
+    d = spark.createDataFrame(rows + [rows[0], rows[100]], "vec_id long, embedding array<float>")
+    q = vptree.usable(d, "vec_id", "embedding")
+    got = vptree.nearest(q, q.where("id % 100 = 0"), 10, 1.0, 32)
+    by_key = defaultdict(list)
+    for x in got.collect():
+        by_key[x.query_id, x.query_key].append((x["rank"], x.vec_id, x.score))
+    assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in by_key.values())
+    # id 100 has two vectors, so two queries; the SQL ranks both together
+    plain = [(i, *x) for (i, _), v in by_key.items() if i != 100 for x in v]
+    # the rows that were given twice are candidates twice, so only queries that don't meet them are compared
+    twice = {i for i, _, v, _ in plain if v in (0, 100)}
+    assert sorted(x for x in plain if x[0] not in twice) == sorted(x for x in want if x[0] != 100 and x[0] not in twice) and len(twice) < 5
+    assert len([k for k in by_key if k[0] == 100]) == 2
+    none = vptree.op7(spark.createDataFrame([], "vec_id long, embedding array<float>, v int, cell string"))
+    assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.count() == 0
+
+
 def test_imatch(spark, docs, nothing, rows):
     out = {r.doc_id: r for r in imatch.op8(docs, 3).collect()}
     order = sorted(rows, key=lambda r: -r[0])
@@ -405,6 +432,33 @@ def test_licenses(spark, nothing):
     assert licenses.op10(nothing).count() == 0
 
 
+def test_licenses_that_training_has_not_seen(spark):
+    m = licenses.model()
+    said = m.report()
+    assert said["family_recall"] >= 0.95 and said["family_precision"] >= 0.95 and said["unseen_licences_unknown"] >= 0.85 and said["calibration_error"] < 0.1
+    seen = {t.lower() for t in (x[1] for x in licenses.texts_by_part()[0])}
+    for line in ("Released under the MIT License", "Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License, version 3"):
+        family = m.predict(line)[0]
+        assert family in ("MIT", "Apache-2.0", "CC-BY-NC", "GPL"), (line, line.lower() in seen)
+    unknown = ["Licensed under the Acme Public License, version 9", "Distributed under the EUPL License", "Released under the terms of the zlib license", "This code is covered by the Nonesuch Software License 2.1"]
+    assert [m.predict(x)[0] for x in unknown] == ["unknown"] * len(unknown)
+    prose = ["She lost her driving license on the way home", "The general spoke to the public about the library", "Seats are reserved for guests"]
+    assert [m.predict(x)[0] for x in prose] == ["none"] * len(prose)
+
+
+def test_wrapped_and_long_paragraphs(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet"
+    mit = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    long = " ".join(["word"] * 200_000)
+    cases = [(1, bsd), (2, mit), (3, long + "\nReleased under the MIT License.\n" + long), (None, bsd), (None, bsd), (5, long)]
+    d = spark.createDataFrame([(*c, "x") for c in cases], "doc_id long, text string, __found string")
+    out = licenses.scan(d).orderBy("doc_id").collect()
+    assert [r.families for r in out] == ["BSD", "BSD", "BSD", "MIT", "MIT", ""] and {r["__found"] for r in out} == {"x"}
+    assert list(licenses.paragraphs(bsd)) == [bsd.replace("\n", " ")]
+    with pytest.raises(ValueError):
+        licenses.scan(d.withColumn("found", F.lit(1)))
+
+
 def test_warc(spark):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nX-A: 1\r\n 2\r\n\r\n<p>caf\xe9 &amp; <b>bar</b></p><script>x</script><div>y</div>"
     d = spark.createDataFrame([("<urn:1>", "https://a.example/", "2024-01-01T00:00:00Z", bytearray(block)), (None, None, None, None), ("<urn:2>", "u", "d", bytearray(b"no headers"))], "record_id string, target_uri string, date string, block binary")
@@ -421,6 +475,75 @@ def test_warc(spark):
     assert warc.op1(spark.createDataFrame([(1, None, None), (1, None, None)], "page_id long, url string, html string")).count() == 4
 
 
+def test_warc_headers_and_codings(spark):
+    import gzip
+
+    page = b"<p>caf\xc3\xa9</p>"
+    packed = gzip.compress(page, mtime=0)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:10], packed[10:])) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
+    headers = [("WARC-Block-Digest", "sha1:GIVEN"), ("WARC-IP-Address", "192.0.2.1")]
+    ddl = "record_id string, target_uri string, date string, block binary, warc_headers array<struct<name: string, value: string>>, k string"
+    out = warc.derivatives(spark.createDataFrame([("<urn:1>", "u", "d", bytearray(block), headers, "x"), ("<urn:2>", "u", "d", bytearray(block[:-30]), None, "y")], ddl), ["k"]).collect()
+    conv = {r.refers_to: r for r in out if r.record_type == "conversion"}
+    meta = {r.refers_to: r for r in out if r.record_type == "metadata"}
+    assert conv["<urn:1>"].content == "café" and conv["<urn:1>"].source_block_digest == "sha1:GIVEN" and conv["<urn:1>"].k == "x"
+    assert "warc-header-warc-ip-address: 192.0.2.1\r\n" in meta["<urn:1>"].content and meta["<urn:1>"].source_payload_digest == warc.digest(chunked)
+    assert conv["<urn:2>"].source_block_digest == warc.digest(block[:-30])
+    with pytest.raises(ValueError):
+        warc.derivatives(spark.createDataFrame([], ddl).withColumn("content", F.lit(1)), ["content"])
+    assert warc.op1(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    assert warc.plain_text("<p>x</p>" + "<a " * 300_000).startswith("x\n<a <a")
+    assert time.time() - began < 5
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, f"word {i}", f"s{i % 2}", f"key {i}", i) for i in range(50)] + [(None, "null id", None, "key", None)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, __k string, __key long")
+    out = mixing.mix_in(d)
+    assert out.columns == d.columns
+    assert all(r["__k"] == f"key {r.doc_id}" and r["__key"] == r.doc_id for r in out.collect() if r.doc_id is not None)
+
+
+def test_work_dir_must_be_shared(spark, monkeypatch):
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            common.work_dir(Cluster)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(50)] + [(None, 1), (5, 5)]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for u, v in links:
+        if u is not None and u != v:
+            x, y = sorted((find(u), find(v)))
+            root[y] = x
+    got = dict(common.components(spark.createDataFrame(links, "u long, v long")).collect())
+    assert got == {i: find(i) for i in root}
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame(links, "u long, v long"), 1)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
