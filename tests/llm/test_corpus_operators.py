@@ -131,31 +131,55 @@ def test_passage_whose_seeds_smaller_documents_have(spark):
     assert covered(spark, texts) == {101: set(range(30, 85))}
 
 
-def test_links(spark):
+def blocks(rows, buckets):
+    cols = [np.array(c, np.int64) for c in zip(*rows)]
+    return [r for b in passages.combined(*cols, buckets) for r in b.to_pylist()]
+
+
+def matches_in(blobs):
+    return [tuple(int(c[i]) for c in cols) for cols in map(passages.unpack_by, blobs) for i in range(len(cols[0]))]
+
+
+@pytest.mark.parametrize("buckets, many", [(1, 8), (7, 1000)])
+def test_links(spark, buckets, many, monkeypatch):
+    """What several buffers hold, matched in them or behind the shuffle."""
     r = random.Random(5)
-    rows = sorted({(r.randrange(12), r.randrange(9), r.randrange(3)) for _ in range(200)})
-    want = []
-    for h, d, at in rows:
-        less = sorted({x[1] for x in rows if x[0] == h and x[1] < d})
-        for m in sorted({less[0], less[-1]} if h % 2 == 0 else {less[0]}) if less else []:
-            want.append((d, at, m, min(x[2] for x in rows if x[:2] == (h, m)), passages.LONG if h % 2 else passages.FIRST if m == less[0] else passages.SECOND))
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    made = [(99, 5, 1, 2, 3, 1)]
-    for n in ("3", "2000"):  # what a seed has may lie in several batches
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
-        got = passages.links(spark.createDataFrame([(*x, None, None, None) for x in rows] + made, passages.SEED)).collect()
-        assert sorted(map(tuple, got)) == sorted([*want, made[0][1:]])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    h = [(x << 30) | (x & 1) for x in range(12)]
+    rows = sorted({(h[r.randrange(12)], r.randrange(-4, 5), r.randrange(3)) for _ in range(200)})
+    monkeypatch.setattr(passages, "MANY", many)
+    parts = [[(a, d, w, 10 * w, 7) for a, d, w in rows if d % 2 == p] for p in (0, 1)]
+    made = [b for p in parts for b in blocks(p, buckets)]
+    d = spark.createDataFrame([(x["bucket"], x["doc_bucket"], bytearray(x["blob"])) for x in made], passages.MATCHES)
+    got = matches_in(x.blob for x in passages.links(d, buckets).collect())
+    assert all(g[1] in (0, 1, 2) and g[3] == 10 * g[2] and g[0] > g[5] and (g[4], g[8]) == (7, 7) for g in got)
+    if many == 1000:
+        want = []
+        for a, doc, w in rows:
+            less = sorted({x[1] for x in rows if x[0] == a and x[1] < doc})
+            for m in sorted({less[0], less[-1]} if a % 2 == 0 else {less[0]}) if less else []:
+                want.append((doc, passages.LONG if a % 2 else passages.FIRST if m == less[0] else passages.SECOND, w, m, min(x[2] for x in rows if x[:2] == (a, m))))
+        assert sorted((g[0], g[1], g[2], g[5], g[6]) for g in got) == sorted(want)
+    # every row of a seed that a smaller document has is matched at least once
+    assert {(g[0], g[2]) for g in got} == {(x[1], x[2]) for x in rows if any(y[0] == x[0] and y[1] < x[1] for y in rows)}
+
+
+def test_packed_blocks_are_read_back():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        cols = [r.integers(-(2**62), 2**62, n), r.integers(0, 3, n), r.integers(0, 70_000, n)]
+        assert all((a == b).all() for a, b in zip(cols, passages.unpacked(passages.packed(*cols)), strict=True))
+        ids = r.integers(-5, 5, n) * 2**60
+        assert all((a == b).all() for a, b in zip([ids, *cols], passages.unpack_by(passages.pack_by(ids, *cols)), strict=True))
 
 
 def test_a_buffer_matches_what_many_have():
-    rows = [(h, d, d * 10 + p << 32) for h in (6, 7) for d in range(12) for p in range(2)] + [(9, d, 5 << 32) for d in range(3)]
-    out = passages.combined(*(np.array(c, np.int64) for c in zip(*rows))).to_pylist()
-    left = [(x["h"], x["doc_id"]) for x in out if x["match_id"] is None]
+    rows = [(h, d, d * 10 + p, 0, 0) for h in (6, 7) for d in range(12) for p in range(2)] + [(9, d, 5, 0, 0) for d in range(3)]
+    out = blocks(rows, 3)
+    left = [(int(h), int(d)) for x in out if x["doc_bucket"] < 0 for d, h in [passages.unpack_by(x["blob"])[:2]] for h, d in zip(np.cumsum(h), d)]
     assert sorted(left) == [(6, 0), (6, 0), (7, 0), (7, 0), (9, 0), (9, 1), (9, 2)]
-    links = [(x["doc_id"], x["match_id"], x["kind"]) for x in out if x["match_id"] is not None]
+    links = matches_in(x["blob"] for x in out if x["doc_bucket"] >= 0)
     want = [(d, 0, k) for d in range(1, 12) for k in (passages.LONG, passages.FIRST)] + [(d, d - 1, passages.SECOND) for d in range(2, 12)]
-    assert Counter(links) == Counter({x: 2 for x in want}) and all(x["match_at"] >> 32 == 10 * x["match_id"] for x in out if x["match_id"] is not None)
+    assert Counter((g[0], g[5], g[1]) for g in links) == Counter({x: 2 for x in want}) and all(g[6] == 10 * g[5] for g in links)
 
 
 def test_no_run_is_lost_between_holders_of_its_pieces(spark):
