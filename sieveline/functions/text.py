@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import html.entities
+import json
 import re
 import unicodedata
 
@@ -12,21 +15,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters of the Latin blocks whose compatibility decomposition is one letter and marks."""
-    pairs = []
-    for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]):
-        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if bare != c and len(bare) == 1:
-            pairs.append((c, bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+HANGUL = (0xAC00, 19, 21, 28)  # the first syllable; how many leads, vowels and tails there are
 
 
-_FROM, _TO = _fold_table()
+@functools.cache
+def fold_tables() -> tuple[str, str, dict[str, str]]:
+    """What a compatibility decomposition without marks makes of each character: letters to letters and marks to nothing (as translate takes them), and the rest to strings."""
+    one, to, none, more = [], [], [], {}
+    for n in [*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]:
+        c = chr(n)
+        if HANGUL[0] <= n < HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3]:
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare == c:
+            continue
+        if len(bare) == 1:
+            one.append(c)
+            to.append(bare)
+        elif bare:
+            more[c] = bare
+        else:
+            none.append(c)
+    return "".join(one + none), "".join(to), more
+
+
+def char_class(chars) -> str:
+    """A pattern's class of these characters, as ranges."""
+    points, spans = sorted(map(ord, chars)), []
+    for n in points:
+        if spans and spans[-1][1] == n - 1:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def _jamo(c: Column) -> Column:
+    """A Korean syllable as its letters, by the rule that orders them."""
+    first, leads, vowels, tails = HANGUL
+    at = F.ascii(c) - first
+    row = lambda start, n, gap: F.split(F.lit(",".join([*([""] * gap), *(chr(start + i) for i in range(n - gap))])), ",")
+    pick = lambda letters, i: F.element_at(letters, i.cast("int") + 1)
+    return F.concat(pick(row(0x1100, leads, 0), F.floor(at / (vowels * tails))), pick(row(0x1161, vowels, 0), F.floor(at % (vowels * tails) / tails)), pick(row(0x11A8, tails, 1), at % tails))
+
+
+def _expanded(x: Column) -> Column:
+    """Characters that become several: looked up one by one, in texts that have any."""
+    more = fold_tables()[2]
+    syllable = (F.lit(chr(HANGUL[0])), F.lit(chr(HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3] - 1)))
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    any_of = char_class([*more, *map(chr, range(HANGUL[0], HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3]))])
+    one = lambda c: F.when(F.octet_length(c) < 2, c).when(c.between(*syllable), _jamo(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))
+    return F.when(x.rlike(any_of), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
+
+
+def bind(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def squeeze(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -41,8 +90,11 @@ def fold_udf(s: pd.Series) -> pd.Series:
 
 
 def normalize(x: Column, exact: bool = False) -> Column:
-    """Fold accents and case, collapse white space. exact: any script, through Arrow; else Latin letters, in the JVM."""
-    return fold_udf(x) if exact else squeeze(F.lower(F.translate(x, _FROM, _TO)))
+    """Fold accents, compatibility forms and case of any script, collapse white space. exact: the same through Python, as a check."""
+    if exact:
+        return fold_udf(x)
+    pairs = fold_tables()
+    return squeeze(F.lower(F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(_expanded(x), pairs[0], pairs[1]))))
 
 
 def no_apostrophes(x: Column) -> Column:
@@ -59,23 +111,53 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-#: The entities that pages use most; others need the UDF.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+#: What entities may look like, and the longest name.
+ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@functools.cache
+def entity_tables() -> tuple[str, str, str, str]:
+    """Names with a semicolon, and those that may lack it, with their characters, and numbers that stand for others, as JSON; a pattern of the second, longest first."""
+    closed = {n: c for n, c in html.entities.html5.items() if n.endswith(";")}
+    open_ = {n: c for n, c in html.entities.html5.items() if not n.endswith(";")}
+    odd = {n: html.unescape(f"&#{n};") for n in [*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | e for p in range(17) for e in (0xFFFE, 0xFFFF))]}
+    odd = {str(n): c for n, c in odd.items() if c != chr(n)}
+    return json.dumps(closed), json.dumps(open_), json.dumps(odd), "^(" + "|".join(sorted(open_, key=lambda n: (-len(n), n))) + ")"
+
+
+def unescape_in_jvm(x: Column) -> Column:
+    """As html.unescape: all named and numeric entities, also without their semicolon. Texts without & stay as they are."""
+    closed, opened, odd, beginnings = entity_tables()
+    look = lambda table, k: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), k)
+
+    def after(part: Column) -> Column:
+        m = F.regexp_extract(part, ENTITY, 1)
+        rest = F.substring(part, F.length(m) + 1, F.length(part))
+        digits = F.regexp_replace(m, "^#[xX]?|;$", "")
+        is_hex = F.lower(F.substring(m, 2, 1)) == "x"
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        n = F.when(F.length(short) > 9, F.lit(1 << 40)).when(is_hex, F.conv(short, 16, 10).cast("long")).otherwise(short.try_cast("long"))
+        bad = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        number = F.coalesce(look(odd, n.cast("string")), F.when(bad, F.lit("\ufffd")).otherwise(made))
+        begin = F.regexp_extract(m, beginnings, 1)
+        named = F.coalesce(look(closed, m), F.when(begin != "", F.concat(look(opened, begin), F.substring(m, F.length(begin) + 1, F.length(m)))), F.concat(F.lit("&"), m))
+        return F.when(m == "", F.concat(F.lit("&"), part)).when(m.startswith("#"), F.concat(number, rest)).otherwise(F.concat(named, rest))
+
+    parts = F.split(x, "&")
+    done = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), after), ""))
+    return F.when(x.contains("&"), done).otherwise(x)
 
 
-def unescape_common(x: Column) -> Column:
-    """The listed entities, in the JVM; &amp; last, so that nothing is unescaped twice."""
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+#: Tags that break lines, and tags.
+BLOCK_TAG, ANY_TAG = r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6])\b[^>]*>", r"<[^>]+>"
 
 
 def strip_html(x: Column, exact: bool = False) -> Column:
-    """Block tags break lines, other tags go, then entities are unescaped; lines are squeezed and empty ones go."""
-    t = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6])\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = unescape(t) if exact else unescape_common(t)
-    lines = F.transform(F.split(t, r"\R|[\x1c-\x1e]"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
+    """Block tags break lines, other tags go, then entities are unescaped; lines are squeezed and empty ones go. exact: entities through Python, as a check."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), BLOCK_TAG, "\n"), ANY_TAG, "")
+    t = unescape(t) if exact else unescape_in_jvm(t)
+    lines = F.transform(F.split(t, r"\R|[\x1c-\x1e]"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 

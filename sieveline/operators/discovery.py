@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import url_host, vendor_domain
+from .extract import CAREERS, careers_links, locs, ranked
+from .urls import first_of_each, is_job_url
 
-TOKEN = r"([A-Za-z0-9_-]+)"
-#: Vendor, address pattern, in the order in which they are tried.
+#: What a board's name is made of; vendor, address pattern, in the order in which they are tried; then marks of vendors without a host of their own.
+TOKEN = r"([a-zA-Z0-9_-]+)"
 SIGNATURES = [
     ("greenhouse", rf"(?i)boards-api\.greenhouse\.io/v1/boards/{TOKEN}"),
     ("greenhouse", rf"(?i)job-boards\.greenhouse\.io/{TOKEN}"),
@@ -22,6 +25,14 @@ SIGNATURES = [
     ("smartrecruiters", rf"(?i)api\.smartrecruiters\.com/v1/companies/{TOKEN}"),
     ("talentsoft", r"(?i)https?://([a-zA-Z0-9-]+\.talent-soft\.com)"),
 ]
+JIBE, SUCCESSFACTORS, EIGHTFOLD = r"(?i)jibecdn\.com", r"(?i)/platform/js/j2w/j2w\.fallbacks\.js", r"(?i)eightfold\.ai"
+JOB_POSTING = r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(?:(?!</script>).)*JobPosting"""
+#: Paths that may lead to careers pages, with their language, in order; those of robots.txt files of one vendor; domains and headers that give vendors away; words of links to listings.
+CAREERS_PATHS = [("/careers", "en"), ("/jobs", "en"), ("/carrieres", "fr"), ("/recrutement", "fr"), ("/nous-rejoindre", "fr"), ("/rejoignez-nous", "fr"), ("/emplois", "fr"), ("/join-us", "en"), ("/careers/jobs", "en"), ("/fr/carrieres", "fr")]
+LISTINGS = ("offres", "postes", "opportunit", "openings", "positions", "all-jobs", "nos-offres", "voir-les-offres")
+RMK_ROBOTS = ["/applybutton/", "/talentcommunity/", "/mobile/talentcommunity/", "/emailsubscribe/", "/email/image/", "/services/", "/preapply/", "/error", "/unsubscribe/", "/reset/"]
+RMK_STYLESHEET = r"""<\?xml-stylesheet[^>]*href="[^"]*view/xsl/sitemapssl\.xsl\""""
+RMK_DOMAINS, EIGHTFOLD_DOMAINS, EIGHTFOLD_HEADERS = ["jobs2web.com", "rmkcdn.successfactors.com", "sapsf.com"], ["eightfold.ai", "eightfold-gov.ai"], ["x-ef-trace-id", "x-ef-iid", "x-ef-ns"]
 
 
 def detect(page: Column, url: Column, signatures=SIGNATURES) -> Column:
@@ -33,12 +44,14 @@ def detect(page: Column, url: Column, signatures=SIGNATURES) -> Column:
         found = F.regexp_extract(page, pattern, 1)
         if name == "workday":
             found = F.regexp_replace(found, r"(?i)\.myworkdayjobs\.com/(?:[a-z]{2}-[a-z]{2}/)?", ".")
+        if name == "talentsoft":
+            found = F.concat(F.lit("https://"), found)
         tried.append((page.rlike(pattern), out(name, found)))
     tried += [
-        (page.rlike(r"(?i)jibecdn\.com"), out("jibe", origin)),
-        (page.rlike(r"(?i)/platform/js/j2w/j2w\.fallbacks\.js"), out("successfactors", F.concat(origin, F.lit("/sitemap.xml")))),
-        (page.rlike(r"(?i)eightfold\.ai"), out("eightfold", F.concat(origin, F.lit("|"), vendor_domain(url_host(url))))),
-        (page.rlike(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(?:(?!</script>).)*JobPosting"""), out("jsonld", url)),
+        (page.rlike(JIBE), out("jibe", origin)),
+        (page.rlike(SUCCESSFACTORS), out("successfactors", F.concat(origin, F.lit("/sitemap.xml")))),
+        (page.rlike(EIGHTFOLD), out("eightfold", F.concat(origin, F.lit("|"), vendor_domain(url_host(url))))),
+        (page.rlike(JOB_POSTING), out("jsonld", url)),
     ]
     chain = None
     for cond, value in tried:
@@ -61,8 +74,94 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def signals(headers: Column, page: Column, need: list[str], any_of: list[str]) -> Column:
-    """Whether all of some marks are in the page and any of others in its headers."""
-    every = F.forall(F.array(*map(F.lit, need)), lambda m: F.contains(page, m)) if need else F.lit(True)
-    some = F.exists(F.array(*map(F.lit, any_of)), lambda m: F.contains(F.lower(headers), m)) if any_of else F.lit(True)
-    return every & some
+def vendor_signals(hosts: DataFrame) -> DataFrame:
+    """hosts (robots, sitemap, csp strings, headers array of names; null where a fetch failed) -> with the signals of two vendors, and the verdict."""
+    has = lambda c, marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.coalesce(F.col(c), F.lit("")), m))
+    d = hosts.withColumn("rmk_robots_boilerplate", F.forall(F.array(*map(F.lit, RMK_ROBOTS)), lambda m: F.contains(F.coalesce("robots", F.lit("")), m)))
+    d = d.withColumn("rmk_sitemap_stylesheet", F.coalesce(F.substring("sitemap", 1, 4096).rlike(RMK_STYLESHEET), F.lit(False)))
+    d = d.withColumn("rmk_csp_domain", has("csp", RMK_DOMAINS)).withColumn("eightfold_csp_domain", has("csp", EIGHTFOLD_DOMAINS))
+    names = F.transform(F.coalesce("headers", F.array().cast("array<string>")), F.lower)
+    d = d.withColumn("eightfold_ef_headers", F.arrays_overlap(names, F.array(*map(F.lit, EIGHTFOLD_HEADERS))))
+    rmk, other = F.expr("rmk_robots_boilerplate OR rmk_sitemap_stylesheet OR rmk_csp_domain"), F.expr("eightfold_csp_domain OR eightfold_ef_headers")
+    return d.withColumn("vendor", F.when(rmk & other, "both").when(rmk, "successfactors_rmk").when(other, "eightfold").otherwise("no match"))
+
+
+def board_hits(answers: DataFrame) -> DataFrame:
+    """answers (ats, status, body) of boards' addresses -> with n, the number of postings; null where there is no board. One vendor answers for names that it doesn't know, so none there is no board."""
+    v = F.try_parse_json("body")
+    size = lambda p: F.size(F.try_variant_get(v, p, "array<variant>"))
+    listed = lambda p: F.when(F.try_variant_get(v, p, "array<variant>").isNotNull(), size(p))
+    total = F.coalesce(F.try_variant_get(v, "$.totalFound", "int"), listed("$.content"))
+    n = F.when(F.col("ats").isin("greenhouse", "ashby"), listed("$.jobs")).when(F.col("ats") == "lever", listed("$")).when(F.col("ats") == "smartrecruiters", F.when(total > 0, total))
+    return answers.withColumn("n", F.when(F.col("status") == 200, n).cast("int"))
+
+
+def careers_urls(sites: DataFrame, website: str = "website") -> DataFrame:
+    """A row per address that may be a careers page (pos, url), most promising first: French paths first for .fr hosts, the root last."""
+    root = F.regexp_replace(website, "/+$", "")
+    paths = lambda ps: F.array(*[F.lit(p) for p in ps])
+    french = [p for p, lang in CAREERS_PATHS if lang == "fr"] + [p for p, lang in CAREERS_PATHS if lang == "en"]
+    order = F.when(url_host(root).endswith(".fr"), paths(french)).otherwise(paths([p for p, _ in CAREERS_PATHS]))
+    return sites.select("*", F.posexplode(F.concat(F.transform(order, lambda p: F.concat(root, p)), F.array(root))).alias("pos", "url"))
+
+
+def sitemap_pages(sites: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """sites (key, sitemap), files (url, text) -> (key, url, pos): the addresses of a sitemap, or of the sitemaps that it lists, one level down."""
+    f = files.select(F.col("url").alias("__file"), "text")
+    top = locs(sites.join(f, F.col("sitemap") == F.col("__file")).drop("__file"), "text", "sitemap").drop("text")
+    is_map = F.col("loc").endswith(".xml")
+    maps = top.where(is_map)
+    pages = top.join(maps.select(*key).distinct(), key, "left_anti").select(*key, F.col("loc").alias("url"), F.col("pos").cast("long").alias("pos"))
+    below = maps.withColumnRenamed("pos", "__at").withColumnRenamed("loc", "__map").join(f, F.col("__map") == F.col("__file"))
+    below = locs(below.select(*key, "__at", "__map", "text"), "text", "__map")
+    return pages.unionByName(below.select(*key, F.col("loc").alias("url"), (F.col("__at").cast("long") * (1 << 32) + F.col("pos")).alias("pos")))
+
+
+def walk(sites: DataFrame, pages: DataFrame, most: int = 8) -> DataFrame:
+    """sites (company, website), pages (url, html) that were fetched -> a row per company: ats, identifier, and the page that told (url).
+
+    The order is the root, its careers links, two links of each of those, then guessed paths; an address counts once, and
+    `most` of them in all. The first page with a signature decides. Pages that weren't fetched count as tried.
+    """
+    key = ["company"]
+    p = pages.select("url", "html")
+    root = sites.select("company", F.regexp_replace("website", "/+$", "").alias("url"))
+    at = lambda a, b, c: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c")).alias("at")
+    zero = F.lit(0)
+    first = careers_links(root.join(p, "url"), key).select("company", F.col("link").alias("url"), F.col("n").alias("k"))
+    own = ["company", "k"]
+    second = ranked(careers_links(first.join(p, "url"), own, (*CAREERS, *LISTINGS)), own, LISTINGS)
+    guessed = careers_urls(sites).select("company", "url", "pos")
+    tried = root.select("company", "url", at(zero, zero, zero))
+    tried = tried.unionByName(first.select("company", "url", at(F.lit(1), F.col("k"), zero)))
+    tried = tried.unionByName(second.select("company", F.col("link").alias("url"), at(F.lit(1), F.col("k"), F.col("rank"))))
+    tried = tried.unionByName(guessed.select("company", "url", at(F.lit(2), F.col("pos"), zero)))
+    tried = tried.groupBy("company", "url").agg(F.min("at").alias("at"))
+    tried = tried.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("at"))).where(F.col("__n") <= most)
+    seen = tried.join(p, "url").withColumn("f", detect(F.col("html"), F.col("url"))).where("f.ats IS NOT NULL")
+    best = seen.groupBy(*key).agg(F.min_by(F.struct("f.ats", "f.identifier", "url"), "at").alias("f"))
+    return sites.select("company", "website").join(best, key, "left").select("company", "website", "f.ats", "f.identifier", "f.url")
+
+
+def sitemap_board(sites: DataFrame, files: DataFrame, pages: DataFrame, samples: int = 3) -> DataFrame:
+    """The last resort: sites (company, sitemap) whose first posting pages (of `samples`) have a posting's JSON-LD -> (company, ats, identifier)."""
+    found = sitemap_pages(sites, files, ["company"]).where(is_job_url(F.col("url")))
+    some = found.withColumn("__n", F.row_number().over(W.partitionBy("company").orderBy("pos"))).where(F.col("__n") <= samples)
+    has = some.join(pages.select("url", "html"), "url").where(F.col("html").rlike(JOB_POSTING)).select("company").distinct()
+    return sites.join(has, "company").select("company", F.lit("sitemap_jsonld").alias("ats"), F.col("sitemap").alias("identifier"))
+
+
+def new_entries(results: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """Catalog entries of results (company, ats, identifier, confidence) that the catalog (ats, identifier) lacks, the first of each board; cold until someone looks at them."""
+    found = first_of_each(results.where("confidence <> 'none'"), ["ats", "identifier"], order).join(existing.select("ats", "identifier"), ["ats", "identifier"], "left_anti")
+    return found.select(*[c for c in order if c not in ("ats", "identifier")], F.col("company").alias("name"), "ats", "identifier", F.lit(True).alias("enabled"), F.lit("cold").alias("tier"), F.array().cast("array<string>").alias("tags"))
+
+
+def entry_line(entries: DataFrame) -> DataFrame:
+    """Entries as lines of a YAML list (JSON is YAML), in column value; write them with write.text."""
+    return entries.select(F.concat(F.lit("- "), F.to_json(F.struct("name", "ats", "identifier", "enabled", "tier", "tags"))).alias("value"))
+
+
+def unresolved_line(results: DataFrame) -> DataFrame:
+    """Results (company, website, notes) without a board as lines of a log."""
+    return results.where("confidence = 'none'").select(F.concat_ws("\t", "company", "website", F.coalesce("notes", F.lit(""))).alias("value"))

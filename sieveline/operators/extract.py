@@ -15,13 +15,20 @@ from .urls import contains_any
 CAREERS = ("career", "careers", "jobs", "emploi", "emplois", "carriere", "carrieres", "recrutement", "rejoign", "join-us", "nous-rejoindre")
 CAREERS_PHRASES = ("nous recrutons", "on recrute", "we're hiring")
 BOARD_HOSTS = ("boards.greenhouse.io", "job-boards.greenhouse.io", "boards-api.greenhouse.io", "jobs.lever.co", "api.lever.co", "jobs.ashbyhq.com", "api.ashbyhq.com")
+#: Fixed value: an anchor with an address.
 ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
 
-def locs(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row per <loc> with an absolute address; pos is its place."""
+def locs(df: DataFrame, text: str = "text", base: str | None = None) -> DataFrame:
+    """A row per <loc>; pos is its place. Relative addresses are resolved against column `base`; without one, or where that gives no web address, they are left out."""
     found = F.regexp_extract_all(text, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)
-    return df.select("*", F.posexplode(found).alias("pos", "loc")).where(F.col("loc").rlike("(?i)^https?://"))
+    d = df.select("*", F.posexplode(found).alias("pos", "loc"))
+    if base:
+        plain = absolute(F.col(base), F.col("loc"))
+        # only relative paths need the general rule
+        odd = F.when(plain.isNull() & (F.col("loc") != ""), F.col("loc"))
+        d = d.withColumn("loc", F.coalesce(plain, F.when(odd.isNotNull(), resolve(F.when(odd.isNotNull(), F.col(base)), odd))))
+    return d.where(F.col("loc").rlike("(?i)^https?://[^/?#]"))
 
 
 def sitemap_declarations(text: Column) -> Column:
@@ -140,8 +147,55 @@ def microdata(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+def itemprops(s: pd.Series) -> pd.Series:
+    """itemprop (in lower case) -> the markup inside each, for strip_html; a meta's content. No item scope is asked for."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.found: dict[str, list[str]] = {}
+            self.open: list[list] = []  # tag, open tags of that name, name, markup
+
+        def put(self, markup):
+            for o in self.open:
+                o[3].append(markup)
+
+        def handle_starttag(self, tag, attrs):
+            for o in self.open:
+                o[1] += o[0] == tag
+            self.put(self.get_starttag_text() or "")
+            values = dict(attrs)
+            name = (values.get("itemprop") or "").strip().lower()
+            if name and tag == "meta":
+                self.found.setdefault(name, []).append(values.get("content") or "")
+            elif name:
+                self.open.append([tag, 1, name, []])
+
+        def handle_endtag(self, tag):
+            for o in self.open:
+                o[1] -= o[0] == tag
+            done = [o for o in self.open if not o[1]]
+            self.open = [o for o in self.open if o[1]]
+            self.put(f"</{tag}>")
+            for o in done:
+                self.found.setdefault(o[2], []).append("".join(o[3]))
+
+        def handle_data(self, data):
+            self.put(data)
+
+    def one(page):
+        r = Reader()
+        r.feed(page or "")
+        return r.found
+
+    return s.map(one)
+
+
 #: The labels of a rendered posting, where its description begins and where it ends.
 LABELS = ("Country", "Area", "Domain", "Workplace location", "Type of contract", "Experience", "Employer company")
+LABELS_OF_PLACE = ("Workplace location", "Area", "Country")
 BEGINS, ENDS = "Activities", ("Additional Information", "Context & Environment")
 
 

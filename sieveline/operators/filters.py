@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, phrase
+from ..functions.text import bind, normalize, phrase
 
 CONTRACT_TYPES = ("internship", "apprenticeship", "other")
 FIELDS = ("company", "title", "location", "description", "contract_type")
@@ -88,11 +88,16 @@ def location_reason(f: Locations, hay: Column) -> Column:
 def apply(f: Filters, exact: bool = False) -> Column:
     """struct(passed, reason, matched_keywords) of a posting. Matched keywords come in the order of the configuration."""
     place = normalize(F.coalesce(F.col("location"), F.lit("")), exact)
+    k = f.keywords
+    hay = normalize(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in k.fields]), exact)
+    return bind(F.struct(place.alias("place"), hay.alias("hay")), lambda x: _judged(f, x["place"], x["hay"]))
+
+
+def _judged(f: Filters, place: Column, hay: Column) -> Column:
     where = location_reason(f.locations.effective(""), place)
     for kind in f.locations.by_contract_type:
         where = F.when(F.col("contract_type") == kind, location_reason(f.locations.effective(kind), place)).otherwise(where)
     k = f.keywords
-    hay = normalize(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in k.fields]), exact)
     hits = F.array_compact(F.array(*[F.when(has_term(hay, t, k.match_mode), F.lit(t)) for t in k.include])) if k.include else F.array().cast("array<string>")
     want = {"any": 1, "all": len(k.include)}[k.require] if k.include else 0
     type_bad = ~F.coalesce(F.col("contract_type").isin(f.contract_types), F.lit(False))

@@ -36,9 +36,9 @@ def verdicts(batch: DataFrame, jobs: DataFrame, fingerprints: DataFrame, now: Co
     b = batch.withColumn("__n", F.row_number().over(own))
     for c in fields:
         b = b.withColumn(f"__before_{c}", F.lag(c).over(own))
-    b = b.withColumn("__first_fp", F.min("seq").over(W.partitionBy("content_fingerprint")))
     s = jobs.select(F.col("job_id"), F.col("last_seen_at").alias("__seen"), *[F.col(c).alias(f"__state_{c}") for c in fields])
-    f = fingerprints.select("content_fingerprint", F.col("last_seen_at").alias("__fp_seen"))
+    # a minimum that is combined before its shuffle, and a join: a common fingerprint is no window
+    f = batch.groupBy("content_fingerprint").agg(F.min("seq").alias("__first_fp")).join(fingerprints.select("content_fingerprint", F.col("last_seen_at").alias("__fp_seen")), "content_fingerprint", "left")
     b = b.join(s, "job_id", "left").join(f, "content_fingerprint", "left")
     again = F.when(differs("", "__before_", fields), "bump").otherwise("known")
     known = F.when(days_between(now, F.col("__seen")) > resurrection, "resurrection").when(differs("", "__state_", fields), "bump").otherwise("known")

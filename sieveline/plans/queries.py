@@ -78,8 +78,10 @@ def q04_fingerprint_dedup(spark, sf):
     return urls.first_of_each(postings(spark, sf).select("seq", fingerprint().alias("content_fingerprint")), ["content_fingerprint"], ["seq"])
 
 
+#: The entities that the SQL below knows; the pages have no others.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 _STRIPPED = r"regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|li|ul|ol|br|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
-for _a, _b in t.ENTITIES:
+for _a, _b in _ENTITIES:
     _STRIPPED = f"replace({_STRIPPED}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 
@@ -164,12 +166,13 @@ def q13_ambiguous_term_gate(spark, sf):
 
 
 def _batch(spark, sf) -> DataFrame:
-    p = postings(spark, sf).withColumn("external_id", (F.col("seq") % 700).cast("string")).withColumn("contract_type", F.lit("other"))
+    again = F.when(F.col("seq") % 4 == 3, F.col("seq") - 3).otherwise(F.col("seq"))  # every fourth is the same posting as the third before it
+    p = postings(spark, sf).withColumn("external_id", again.cast("string")).withColumn("contract_type", F.lit("other"))
     return p.withColumn("job_id", job_id()).withColumn("content_fingerprint", fingerprint())
 
 
 def _state(b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = b.where("seq < 700 AND seq % 5 IN (0, 1, 2)")
+    s = b.where("seq % 4 <> 3 AND seq % 5 <> 4")  # three fifths of all documents
     day = F.when(F.col("seq") % 5 == 0, "2024-01-30 12:00:00").when(F.col("seq") % 5 == 1, "2024-01-24 00:00:00").otherwise("2023-06-01 00:00:00").cast("timestamp")
     jobs = s.select(
         "job_id", "content_fingerprint", "company", "source", "external_id", F.when(F.col("seq") % 10 == 5, "changed").otherwise(F.col("title")).alias("title"), "location", "contract_type", "url", "description", "source_posted_at",
@@ -181,9 +184,9 @@ def _state(b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _DAY = "CASE seq % 5 WHEN 0 THEN TIMESTAMP '2024-01-30 12:00:00' WHEN 1 THEN TIMESTAMP '2024-01-24 00:00:00' ELSE TIMESTAMP '2023-06-01 00:00:00' END"
-_B = f"""WITH {P}, b AS (SELECT seq, company, source, (seq % 700)::VARCHAR AS external_id, title, location, url, description, sha256(source || ':' || (seq % 700)) AS job_id, {FP} AS content_fingerprint FROM p),
+_B = f"""WITH {P}, b AS (SELECT seq, company, source, (CASE WHEN seq % 4 = 3 THEN seq - 3 ELSE seq END)::VARCHAR AS external_id, title, location, url, description, sha256(source || ':' || CASE WHEN seq % 4 = 3 THEN seq - 3 ELSE seq END) AS job_id, {FP} AS content_fingerprint FROM p),
 s AS (SELECT job_id, content_fingerprint, company, source, CASE WHEN seq % 10 = 5 THEN 'changed' ELSE title END AS title, location, url, description, seq AS o, TIMESTAMP '2023-05-01 00:00:00' AS first_seen_at, {_DAY} AS last_seen_at,
-  CASE WHEN seq % 2 = 0 THEN {_DAY} END AS published_at, CASE WHEN seq % 5 = 2 THEN {NOW_SQL} END AS disappeared_at, (seq % 2)::INTEGER AS publish_pending FROM b WHERE seq < 700 AND seq % 5 IN (0, 1, 2)),
+  CASE WHEN seq % 2 = 0 THEN {_DAY} END AS published_at, CASE WHEN seq % 5 = 2 THEN {NOW_SQL} END AS disappeared_at, (seq % 2)::INTEGER AS publish_pending FROM b WHERE seq % 4 <> 3 AND seq % 5 <> 4),
 fp AS (SELECT content_fingerprint, max(last_seen_at) AS last_seen_at, arg_min(job_id, o) AS origin_job_id FROM s GROUP BY 1),
 w AS (SELECT *, row_number() OVER j AS rn, lag(content_fingerprint) OVER j AS l1, lag(title) OVER j AS l2, lag(location) OVER j AS l3, lag(company) OVER j AS l4, lag(url) OVER j AS l5, lag(description) OVER j AS l6, min(seq) OVER (PARTITION BY content_fingerprint) AS ff FROM b WINDOW j AS (PARTITION BY job_id ORDER BY seq)),
 v AS (SELECT w.*, CASE
@@ -425,18 +428,18 @@ def q44_event_props(spark, sf):
 
 @query(rf"""WITH {P}, c AS (SELECT *, CASE WHEN length(title) > 256 THEN substr(title, 1, 255) || '…' ELSE title END AS t, regexp_replace(regexp_replace(description, '^\s+|\s+$', '', 'g'), '\n{{2,}}', chr(10), 'g') AS d FROM p),
 e AS (SELECT *, CASE WHEN length(d) > 300 THEN substr(d, 1, 299) || '…' WHEN d = '' THEN 'No description provided.' ELSE d END AS e FROM c)
-SELECT seq, t AS title, e AS description, (length(t) + length(e) + length('via docs') + length('Company') + length(company) + length('Location') + length(location) + length('Contract type') + length('other'))::BIGINT AS chars FROM e""")
+SELECT seq, t AS title, e AS description, 10070709 AS color, 'Source: docs' AS footer, (length(t) + length(e) + length('Source: docs') + length('Company') + length(company) + length('Location') + length(location) + length('Contract type') + length('other'))::BIGINT AS chars FROM e""")
 def q45_embed(spark, sf):
     p = postings(spark, sf).withColumn("contract_type", F.lit("other")).withColumn("e", publish.embed())
-    return p.select("seq", "e.title", "e.description", publish.embed_chars("e").cast("long").alias("chars"))
+    return p.select("seq", "e.title", "e.description", "e.color", "e.footer", publish.embed_chars("e").cast("long").alias("chars"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, least(n_chars, 2000) AS c FROM documents),
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, n_chars AS c FROM documents),
 g AS (SELECT source, doc_id, i, 0 AS chunk, 1 AS n, c AS total FROM o WHERE i = 1 UNION ALL
 SELECT o.source, o.doc_id, o.i, g.chunk + (g.n >= 10 OR g.total + o.c > 6000)::INT, CASE WHEN g.n >= 10 OR g.total + o.c > 6000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 10 OR g.total + o.c > 6000 THEN o.c ELSE g.total + o.c END FROM g JOIN o ON o.source = g.source AND o.i = g.i + 1)
 SELECT source, doc_id, chunk::INTEGER AS chunk FROM g""")
 def q46_chunks(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.least("n_chars", F.lit(2000)).alias("c"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.col("n_chars").alias("c"))
     return publish.chunks(d, ["source"], "doc_id", "c")
 
 
@@ -460,11 +463,14 @@ def q49_pagination_plan(spark, sf):
     return urls.page_plan(c, "total", 20, 3).select("c_nationkey", "page", F.col("offset").cast("long").alias("offset"))
 
 
-@query(_B + ", o AS (SELECT company, count(*) AS n FROM b GROUP BY 1) SELECT (SELECT count(*) FROM o)::BIGINT AS attempted, 0::BIGINT AS failed, (SELECT sum(n) FROM o)::BIGINT AS fetched, (SELECT count(*) FROM v)::BIGINT AS passing, (SELECT count(*) FROM v WHERE verdict = 'new')::BIGINT AS published")
+@query(_B + ", o AS (SELECT company, count(*) AS n FROM b GROUP BY 1) SELECT (SELECT count(*) FROM o)::BIGINT AS attempted, (SELECT count(*) FROM o WHERE company = 'src5')::BIGINT AS failed, (SELECT sum(n) FROM o)::BIGINT AS fetched, (SELECT count(*) FROM v)::BIGINT AS passing, (SELECT count(*) FROM v WHERE verdict = 'new')::BIGINT AS published")
 def q50_run_report(spark, sf):
+    from .cycle import Cycle, report
+
     d = _judged(spark, sf)[0]
-    o = d.groupBy("company").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "new").alias("new"))
-    return o.agg(F.count("*").alias("attempted"), F.lit(0).cast("long").alias("failed"), F.sum("n").alias("fetched"), F.sum("n").alias("passing"), F.sum("new").alias("published"))
+    o = d.groupBy("company").agg(F.count("*").alias("n")).withColumn("build_error", F.lit(None).cast("string")).withColumn("fetch_error", F.when(F.col("company") == "src5", "late"))
+    r = report(o, Cycle(d, d.limit(0), {}, d.where("verdict = 'new'")))
+    return r.select("attempted", "failed", "fetched", "passing", F.coalesce(F.try_element_at("verdicts", F.lit("new")), F.lit(0)).cast("long").alias("published"))
 
 
 @query(r"WITH f AS (SELECT c_custkey, replace(lower(c_name), '#', ' ') AS n FROM customer) SELECT c_custkey, array_to_string(list_distinct_ordered, ',') AS slugs FROM (SELECT c_custkey, list_filter([replace(n, ' ', ''), CASE WHEN replace(n, ' ', '-') <> replace(n, ' ', '') THEN replace(n, ' ', '-') END, CASE WHEN regexp_replace(n, '[^a-z0-9]', '', 'g') NOT IN (replace(n, ' ', ''), replace(n, ' ', '-')) THEN regexp_replace(n, '[^a-z0-9]', '', 'g') END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM f)")
@@ -472,6 +478,227 @@ def q51_slug_variants(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(t.slug_variants(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))), ",").alias("slugs"))
 
 
+# ---- a payload for each document, and what its vendor's parser makes of it
+
+
+
+def _id() -> Column:
+    return F.col("doc_id").cast("string")
+
+
+_SRC = "'https://docs.example.org/' || doc_id"
+
+
+def _raw(spark, sf, payload, **more) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(F.lit("docs").alias("source"), F.col("source").alias("company"), payload.alias("payload"), *[c.alias(n) for n, c in more.items()])
+
+
+def _url() -> Column:
+    return F.concat(F.lit("https://docs.example.org/"), _id())
+
+
+def _json(**fields) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
+
+
+def _list(key: str, one: Column) -> Column:
+    return F.to_json(F.struct(F.array(one).alias(key)))
+
+
+@query(f"SELECT doc_id::VARCHAR AS external_id, 'Développeur ' || doc_id AS title, {_SRC} AS url, lang AS location, 'Développeur été ’ ' || doc_id || chr(10) || 'a < b & c' AS description FROM documents")
+def q52_greenhouse(spark, sf):
+    body = F.concat(F.lit("<p>D&eacute;veloppeur &#233;t&#xe9; &rsquo; "), _id(), F.lit("</p><div>a &lt; b &amp c</div>"))
+    one = _json(id=F.col("doc_id"), title=F.concat(F.lit("Développeur "), _id()), absolute_url=_url(), location=_json(name=F.col("lang")), updated_at="2024-01-02T03:04:05Z", content=body)
+    return parse(_raw(spark, sf, _list("jobs", one)), "greenhouse").select("external_id", "title", "url", "location", "description")
+
+
+@query(f"SELECT doc_id::VARCHAR AS external_id, lang AS location, CASE WHEN doc_id % 2 = 0 THEN 'Intern' ELSE '' END AS hint, 'plain ' || doc_id AS description, {_SRC} AS url FROM documents WHERE doc_id % 3 <> 0")
+def q53_ashby(spark, sf):
+    one = _json(id=_id(), title=F.when(F.col("doc_id") % 3 == 0, " ").otherwise("T"), jobUrl=_url(), location=F.col("lang"), employmentType=F.when(F.col("doc_id") % 2 == 0, "Intern"), publishedAt="2024-01-02T03:04:05Z", descriptionPlain=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("plain "), _id())), descriptionHtml=F.concat(F.lit("<b>plain</b> "), _id()))
+    return parse(_raw(spark, sf, _list("jobs", one)), "ashby").select("external_id", "location", "hint", "description", "url")
+
+
+@query("SELECT '/job/' || doc_id AS external_id, 'https://acme.wd3.myworkdayjobs.com/Ext/job/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS location, min(doc_id % 3) OVER () AS page FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id) = 1")
+def q54_workday_pages(spark, sf):
+    """Pages of several search terms overlap; a posting counts once, from the first."""
+    from ..sources.vendors import merged
+
+    one = _json(title="T", externalPath=F.concat(F.lit("/job/"), _id()), timeType="Full time", locationsText=F.when(F.col("doc_id") % 2 == 0, F.col("lang")), bulletFields=F.array(F.concat(F.lit("R"), _id()), F.col("source")))
+    raw = _raw(spark, sf, _list("jobPostings", one)).withColumn("company", F.lit("acme.wd3.Ext|country=1"))
+    got = [parse(raw, "workday").withColumn("page", F.lit(p)) for p in (1, 0)]
+    return merged(got[0].unionByName(got[1]), ["page"]).select("external_id", "url", "location", F.col("page").cast("long").alias("page"))
+
+
+@query("SELECT doc_id::VARCHAR AS external_id, 'https://jobs.smartrecruiters.com/' || source || '/' || doc_id AS url, lang || ', ' || source AS location, 'Intern Junior' AS hint FROM documents")
+def q55_smartrecruiters(spark, sf):
+    one = _json(id=_id(), name="T", releasedDate="2024-01-02T03:04:05Z", location=_json(fullLocation=F.concat(F.col("lang"), F.lit(", "), F.col("source"))), typeOfEmployment=_json(label="Intern"), experienceLevel=_json(label="Junior"))
+    return parse(_raw(spark, sf, _list("content", one)), "smartrecruiters").select("external_id", "url", "location", "hint")
+
+
+@query("SELECT doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 2 = 0 THEN 'https://apply.example/' || doc_id ELSE source || '/jobs/' || doc_id END AS url, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'Nice' END AS location, 'é ' || doc_id AS description FROM documents")
+def q56_jibe(spark, sf):
+    one = F.create_map(F.lit("data"), _json(slug=F.when(F.col("doc_id") % 5 == 0, _id()), req_id=_id(), title="T", full_location=F.when(F.col("doc_id") % 3 == 0, F.col("lang")), city="Nice", description=F.concat(F.lit("<p>&eacute; "), _id()), apply_url=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://apply.example/"), _id()))))
+    return parse(_raw(spark, sf, _list("jobs", one)), "jibe").select("external_id", "url", "location", "description")
+
+
+@query(f"SELECT 'D' || doc_id AS external_id, lang AS location, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS posted_at, {_SRC} AS url FROM documents")
+def q57_eightfold(spark, sf):
+    at = F.lit(1704067200) + F.col("doc_id")
+    one = _json(id=F.col("doc_id"), displayJobId=F.concat(F.lit("D"), _id()), name="T", standardizedLocations=F.when(F.col("doc_id") % 2 == 0, F.array(F.col("lang"))), locations=F.array(F.col("lang"), F.lit("x")), postedTs=F.when(F.col("doc_id") % 2 == 0, at), creationTs=at, publicUrl=F.when(F.col("doc_id") % 3 == 0, _url()), positionUrl=_url())
+    return parse(_raw(spark, sf, F.to_json(one)), "eightfold").select("external_id", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "url")
+
+
+@query(f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'I' || doc_id ELSE {_SRC} END AS external_id, {_SRC} AS url, 'a & é' AS description FROM documents")
+def q58_sitemap_jsonld(spark, sf):
+    """Postings without an address take their page's; descriptions are escaped twice."""
+    one = F.concat(F.lit('{"@type": "JobPosting", "title": "T", "description": "&lt;p&gt;a &amp;amp; &amp;eacute;&lt;/p&gt;"'), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(', "identifier": "I'), _id(), F.lit('"'))).otherwise(""), F.lit("}"))
+    page = F.concat(F.lit('<script type="application/ld+json">'), one, F.lit("</script>"))
+    return parse(_raw(spark, sf, page, page_url=_url()), "sitemap_jsonld").select("external_id", "url", "description")
+
+
+@query(f"SELECT 'https://docs.example.org/job/Paris-Dev/' || doc_id || '/' AS external_id, CASE WHEN doc_id % 2 = 0 THEN 'Item ' || doc_id ELSE 'Tag ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'Paris' END AS location, 'one' || chr(10) || 'two é' AS description FROM documents")
+def q59_successfactors_pages(spark, sf):
+    page = F.concat(
+        F.lit("<title>Tag "), _id(), F.lit(" Job Details | Acme</title>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<h1 itemprop="title">Item '), _id(), F.lit("</h1>"))).otherwise(""),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<meta itemprop="streetAddress" content="'), F.col("lang"), F.lit('">'))).otherwise(""), F.lit('<span itemprop="description"><span>one</span><p>two <span>&eacute;</span></p></span>'),
+    )
+    return parse(_raw(spark, sf, page, page_url=F.concat(F.lit("https://docs.example.org/job/Paris-Dev/"), _id(), F.lit("/"))), "successfactors").select("external_id", "title", "location", "description")
+
+
+@query(f"SELECT {_SRC} AS url, 'Title ' || doc_id AS title, lang || ', ' || source || ', France' AS location, CASE WHEN doc_id % 2 = 0 THEN 'Stage' ELSE '' END AS hint, 'Work' || chr(10) || doc_id AS description FROM documents")
+def q60_rendered_sitemap(spark, sf):
+    text = F.concat(F.lit("Country\n\nFrance\nArea\n"), F.col("source"), F.lit("\nWorkplace location\n"), F.col("lang"), F.lit("\nType of contract\n"), F.when(F.col("doc_id") % 2 == 0, "Stage").otherwise(""), F.lit("\nActivities\nWork\n\n"), _id(), F.lit("\nAdditional Information\nx"))
+    return parse(_raw(spark, sf, text, page_url=_url(), page_title=F.concat(F.lit("Title "), _id())), "rendered_sitemap").select("url", "title", "location", "hint", "description")
+
+
+@query("SELECT doc_id::VARCHAR AS external_id, 'Offre ' || doc_id AS title, '/offre_' || doc_id || '.aspx' AS url, lang || ', ' || source AS location, 'Stage' AS hint FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id::VARCHAR, 'Offre ' || doc_id, 'https://x.example/?idOffre=' || doc_id, lang, 'CDI' FROM documents WHERE doc_id % 4 = 0")
+def q61_talentsoft(spark, sf):
+    """Listing pages with cards; where a page says that there are offers but shows none, its feed."""
+    card = F.concat(F.lit('2 offres <a class="title-link" href="/offre_'), _id(), F.lit('.aspx">Offre '), _id(), F.lit("</a> <ul><li>Stage</li><li>"), F.col("lang"), F.lit("</li><li>"), F.col("source"), F.lit("</li></ul>"))
+    feed = F.concat(F.lit("<rss><channel><item><title>2024-12 - Offre "), _id(), F.lit("</title><link>https://x.example/?idOffre="), _id(), F.lit("</link><description>&lt;p&gt;Ville : "), F.col("lang"), F.lit("&lt;/p&gt;</description><category>a</category><category>CDI</category></item></channel></rss>"))
+    bare = F.col("doc_id") % 4 == 0
+    d = table(spark, sf, "documents").select(F.lit("docs").alias("source"), _id().alias("company"), F.when(bare, "12 offres").otherwise(card).alias("page"), feed.alias("feed"))
+    raw = d.select("source", "company", F.explode(F.array("page", "feed")).alias("payload"))
+    return parse(raw, "talentsoft").select("external_id", "title", "url", "location", "hint")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'greenhouse: malformed payload' END AS error FROM documents")
+def q62_broken_payloads(spark, sf):
+    from ..sources.vendors import broken
+
+    d = table(spark, sf, "documents")
+    raw = d.select(F.lit("docs").alias("source"), _id().alias("company"), F.when(F.col("doc_id") % 6 == 0, "{bad").when(F.col("doc_id") % 6 == 3, '{"jobs": 1}').otherwise('{"jobs": []}').alias("payload"))
+    return d.select("doc_id").join(broken(raw, "greenhouse").select(F.col("company").cast("long").alias("doc_id"), "error"), "doc_id", "left")
+
+
+@query("SELECT doc_id, 'https://docs.example.org/m' || (doc_id % 2) || '/' || doc_id AS url FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'https://docs.example.org/top/' || doc_id FROM documents WHERE doc_id % 3 = 0")
+def q63_sitemap_traversal(spark, sf):
+    """A site's sitemap lists two others, by relative addresses; a third of the sites have one level only."""
+    d = table(spark, sf, "documents")
+    one = F.col("doc_id") % 3 == 0
+    at = lambda part: F.concat(F.lit("https://docs.example.org/"), part)
+    index = F.when(one, F.concat(F.lit("<loc> /top/"), _id(), F.lit("</loc>"))).otherwise(F.concat(F.lit("<loc>/maps/"), _id(), F.lit(".xml</loc><loc>/maps/none.xml</loc><loc>//docs.example.org/skip</loc>")))
+    files = d.select(at(F.concat(F.lit("site"), _id())).alias("url"), index.alias("text")).unionByName(d.where(~one).select(at(F.concat(F.lit("maps/"), _id(), F.lit(".xml"))).alias("url"), F.concat(F.lit("<loc>../m"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), _id(), F.lit("</loc><loc>mailto:x</loc>")).alias("text")))
+    return discovery.sitemap_pages(d.select("doc_id", at(F.concat(F.lit("site"), _id())).alias("sitemap")), files, ["doc_id"]).select("doc_id", "url")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'talentsoft' WHEN 2 THEN 'workday' WHEN 3 THEN 'eightfold' END AS ats, CASE doc_id % 5 WHEN 0 THEN 'b' || doc_id WHEN 1 THEN 'https://b' || doc_id || '.talent-soft.com' WHEN 2 THEN 'b' || doc_id || '.wd3.ext' WHEN 3 THEN 'https://careers.b' || doc_id || '.example|b' || doc_id || '.example' END AS identifier FROM documents")
+def q64_detect_vendors(spark, sf):
+    k = F.col("doc_id") % 5
+    page = F.when(k == 0, F.concat(F.lit('<a href="https://boards.greenhouse.io/b'), _id(), F.lit('">'))).when(k == 1, F.concat(F.lit("http://b"), _id(), F.lit(".talent-soft.com/x"))).when(k == 2, F.concat(F.lit("b"), _id(), F.lit(".wd3.myworkdayjobs.com/en-US/ext"))).when(k == 3, "static.eightfold.ai").otherwise("none")
+    found = discovery.detect(F.col("page"), F.concat(F.lit("https://careers.b"), _id(), F.lit(".example/x")))
+    return table(spark, sf, "documents").withColumn("page", page).select("doc_id", found.alias("f")).select("doc_id", "f.ats", "f.identifier")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (doc_id % 3)::INTEGER WHEN 1 THEN CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::INTEGER END END AS n FROM documents")
+def q65_board_hits(spark, sf):
+    k, n = F.col("doc_id") % 4, (F.col("doc_id") % 3).cast("int")
+    d = table(spark, sf, "documents").select("doc_id", F.when(k % 2 == 0, "lever").otherwise("smartrecruiters").alias("ats"), F.when(k == 2, 404).otherwise(200).alias("status"), F.when(k == 0, F.to_json(F.array_repeat(F.lit(1), n))).when(k == 1, F.concat(F.lit('{"totalFound": '), n, F.lit("}"))).otherwise("{bad").alias("body"))
+    return discovery.board_hits(d).select("doc_id", "n")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'successfactors_rmk' WHEN 1 THEN 'eightfold' WHEN 2 THEN 'both' ELSE 'no match' END AS vendor FROM documents")
+def q66_vendor_signals(spark, sf):
+    k = F.col("doc_id") % 4
+    d = table(spark, sf, "documents").select("doc_id", F.when(k == 0, "\n".join(discovery.RMK_ROBOTS)).otherwise("Disallow: /error").alias("robots"), F.lit(None).cast("string").alias("sitemap"), F.when(k == 2, "x jobs2web.com").alias("csp"), F.when((k == 1) | (k == 2), F.array(F.lit("X-EF-Ns"))).alias("headers"))
+    return discovery.vendor_signals(d).select("doc_id", "vendor")
+
+
+@query("SELECT doc_id, ats, n FROM (SELECT doc_id, 'lever' AS ats, 'b' || (doc_id % 90) AS n FROM documents) QUALIFY row_number() OVER (PARTITION BY n ORDER BY doc_id) = 1 AND n <> 'b7'")
+def q67_new_entries(spark, sf):
+    d = table(spark, sf, "documents")
+    r = d.select("doc_id", F.col("source").alias("company"), F.lit("lever").alias("ats"), F.concat(F.lit("b"), F.col("doc_id") % 90).alias("identifier"), F.lit("probable").alias("confidence"))
+    old = spark.range(1).select(F.lit("lever").alias("ats"), F.lit("b7").alias("identifier"))
+    return discovery.new_entries(r, old, ["doc_id"]).select("doc_id", "ats", F.col("identifier").alias("n"))
+
+
+@query("SELECT doc_id, count(*)::BIGINT AS n, max(CASE WHEN pos = 0 THEN url END) AS first FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['/carrieres', '/recrutement', '/nous-rejoindre', '/rejoignez-nous', '/emplois', '/fr/carrieres', '/careers', '/jobs', '/join-us', '/careers/jobs', ''] ELSE ['/careers', '/jobs', '/carrieres', '/recrutement', '/nous-rejoindre', '/rejoignez-nous', '/emplois', '/join-us', '/careers/jobs', '/fr/carrieres', ''] END) AS path, generate_subscripts(range(11), 1) - 1 AS pos, 'https://b' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.fr' ELSE '.com' END || path AS url FROM documents) GROUP BY 1")
+def q68_careers_urls(spark, sf):
+    site = F.concat(F.lit("https://b"), _id(), F.when(F.col("doc_id") % 2 == 0, ".fr/").otherwise(".com"))
+    c = discovery.careers_urls(table(spark, sf, "documents").select("doc_id", site.alias("website")))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("pos") == 0, F.col("url"))).alias("first"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'greenhouse' WHEN doc_id % 3 = 1 THEN 'lever' END AS ats, CASE WHEN doc_id % 3 < 2 THEN 'b' || doc_id END AS identifier FROM documents")
+def q69_discovery_walk(spark, sf):
+    """A third of the companies tell on their root page, a third two links further on, and a third not at all."""
+    d = table(spark, sf, "documents")
+    k, site = F.col("doc_id") % 3, F.concat(F.lit("https://b"), _id(), F.lit(".example"))
+    sites = d.select(_id().alias("company"), site.alias("website"))
+    root = F.when(k == 0, F.concat(F.lit("https://boards.greenhouse.io/b"), _id())).otherwise('<a href="/about/careers">Work</a>')
+    pages = d.select(site.alias("url"), root.alias("html")).unionByName(d.where(k > 0).select(F.concat(site, F.lit("/about/careers")).alias("url"), F.lit('<a href="/team/jobs">Team</a><a href="/nos-offres">Voir</a>').alias("html")))
+    pages = pages.unionByName(d.where(k == 1).select(F.concat(site, F.lit("/nos-offres")).alias("url"), F.concat(F.lit("https://jobs.lever.co/b"), _id()).alias("html")))
+    return discovery.walk(sites, pages).select(F.col("company").cast("long").alias("doc_id"), "ats", "identifier")
+
+
+@query(r"SELECT doc_id, TIMESTAMP '2024-03-01 10:00:00' + to_seconds(doc_id) AS at, CASE WHEN doc_id % 2 = 0 THEN doc_id / 10.0::DOUBLE ELSE 1.0 END AS wait, 'Jobs X' || doc_id AS name FROM documents")
+def q70_dates_and_names(spark, sf):
+    at = F.lit("2024-03-01 10:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"retry_after": '), F.col("doc_id") / 10.0, F.lit("}"))).otherwise("late")
+    return table(spark, sf, "documents").select("doc_id", t.when_reported(said).cast("timestamp_ntz").alias("at"), t.retry_after(body).alias("wait"), t.name_from_host(F.concat(F.lit("www.jobs-x"), _id(), F.lit(".example/a"))).alias("name"))
+
+
+@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' || doc_id ELSE 'Paris' END AS city, 'https://x.example/a/' || doc_id AS link FROM documents")
+def q71_addresses(spark, sf):
+    u = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://x.example/job/"), _id(), F.lit("-Dev/1/"))).otherwise("https://x.example/job/Paris-Dev-75/123/")
+    base, link = F.lit("https://x.example/a/b?c"), F.when(F.col("doc_id") % 2 == 0, _id()).otherwise(F.concat(F.lit("../a/"), _id()))
+    return table(spark, sf, "documents").select("doc_id", t.city_from_slug(u).alias("city"), t.resolve(base, link).alias("link"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 1 AS allowed FROM documents")
+def q72_robots_by_host(spark, sf):
+    """A rules file for each host; hosts without one allow everything."""
+    d = table(spark, sf, "documents")
+    host = F.concat(F.lit("h"), _id())
+    files = d.where("doc_id % 4 < 3").select(host.alias("host"), F.when(F.col("doc_id") % 4 == 0, "User-agent: *\nDisallow: /\nAllow: /a/*.html$").when(F.col("doc_id") % 4 == 1, "User-agent: other\nUser-agent: *\nDisallow: /a # all").otherwise("User-agent: other\nDisallow: /").alias("text"))
+    u = d.select("doc_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/a/x.html")).alias("url"))
+    return robots.decided(u, robots.rules(files), ["doc_id"], ["host"])
+
+
+@query(_B + f" SELECT job_id, CASE WHEN seq % 6 = 0 THEN {NOW_SQL} WHEN seq % 2 = 0 THEN last_seen_at END AS published_at, CASE WHEN seq % 6 = 0 THEN 0 ELSE publish_pending END AS publish_pending FROM (SELECT s.*, o AS seq FROM s)")
+def q73_mark_published(spark, sf):
+    b = _batch(spark, sf)
+    jobs, _ = _state(b)
+    return verdict.mark_published(jobs, b.where("seq % 6 = 0 AND seq % 4 <> 3").select("job_id"), now()).select("job_id", "published_at", "publish_pending")
+
+
+@query("SELECT s_suppkey, 3 AS version, 0 AS has_seen_postings, 0 AS publish_pending FROM supplier")
+def q74_state_migration(spark, sf):
+    from ..sources.state import VERSION, migrate
+
+    old = table(spark, sf, "supplier").select("s_suppkey")
+    m = migrate(migrate(migrate(old, "health", 1), "jobs", 2), "jobs", 2)
+    return m.select("s_suppkey", F.lit(VERSION).alias("version"), "has_seen_postings", "publish_pending")
+
+
+@query("WITH e AS (SELECT s_suppkey, 'late ' || s_suppkey AS error FROM supplier WHERE s_nationkey < 3) SELECT max(c)::BIGINT AS failed, CASE WHEN length(m) > 400 THEN substr(m, 1, 399) || '…' ELSE m END AS message FROM (SELECT 'poll: ' || count(*) || ' source(s) failed this run:' || chr(10) || string_agg('- ' || error, chr(10) ORDER BY s_suppkey) AS m, count(*) AS c FROM e) GROUP BY ALL HAVING max(c) > 0")
+def q75_error_summary(spark, sf):
+    e = table(spark, sf, "supplier").where("s_nationkey < 3").select("s_suppkey", F.concat(F.lit("late "), "s_suppkey").alias("error"))
+    return publish.error_summary(e, ["s_suppkey"], "poll", 400)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """documents -> filter -> verdicts against a derived state -> counts of the next state by verdict."""
     b = _batch(spark, sf).withColumn("f", filters.apply(filters.Filters(filters.Locations(["en", "fr", "de"]), filters.Keywords(), ["other"])))

@@ -38,6 +38,65 @@ class Settings:
         return cls(**values)
 
 
+def read_yaml(path: str):
+    """What a YAML or JSON file holds. JSON needs nothing more; YAML needs PyYAML."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} is no JSON, and PyYAML is not installed") from e
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(f"malformed YAML in {path}: {e}") from e
+
+
+def load_settings(path: str, env: dict[str, str] | None = None) -> Settings:
+    """Settings of a file, overlaid by the environment."""
+    if not os.path.exists(path):
+        raise ValueError(f"no settings file {path}")
+    given = read_yaml(path)
+    if given is not None and not isinstance(given, dict):
+        raise ValueError(f"{path} must hold a mapping")
+    return Settings.load(given or {}, env)
+
+
+def load_catalog(spark: SparkSession, path: str, known: set[str]) -> DataFrame:
+    """The catalog of a file, or of all *.yaml files of a folder in the order of their names. Each must hold a list of mappings."""
+    if not os.path.exists(path):
+        raise ValueError(f"no catalog {path}")
+    files = [path] if os.path.isfile(path) else [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".yaml")]
+    if not files:
+        raise ValueError(f"no *.yaml files in {path}")
+    entries: list[dict] = []
+    for f in files:
+        held = read_yaml(f)
+        if held is not None and not (isinstance(held, list) and all(isinstance(e, dict) for e in held)):
+            raise ValueError(f"{f} must hold a list of mappings")
+        for e in held or []:
+            if missing := {"name", "ats", "identifier"} - set(e):
+                raise ValueError(f"{f}: {e} lacks {sorted(missing)}")
+        entries += held or []
+    return catalog(spark, entries, known)
+
+
+#: The vendors whose searches take terms, and those whose addresses are narrowed by place.
+SEARCHED = ("workday", "smartrecruiters", "jibe", "talentsoft", "sitemap_jsonld", "successfactors", "eightfold", "rendered")
+PLACED = ("sitemap_jsonld", "rendered")
+
+
+def requests(companies: DataFrame, search_terms: list[str] | None = None, locations: list[str] | None = None) -> DataFrame:
+    """companies with what each source is asked for: search_terms and locations, null where its vendor takes none."""
+    given = lambda xs: F.array(*map(F.lit, xs)) if xs else F.lit(None).cast("array<string>")
+    return companies.withColumn("search_terms", F.when(F.col("ats").isin(*SEARCHED), given(search_terms))).withColumn("locations", F.when(F.col("ats").isin(*PLACED), given(locations)))
+
+
 def catalog(spark: SparkSession, entries: list[dict], known: set[str]) -> DataFrame:
     """Company sources in their order, company_idx from 0. Unknown vendors and repeated (name, ats, identifier) are errors, disabled ones too."""
     if bad := sorted({e["ats"] for e in entries} - known):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,24 +26,59 @@ def migrate(df: DataFrame, table: str, version: int) -> DataFrame:
     return df
 
 
-def _pointer(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    fs, path = _pointer(spark, root)
+def current(spark: SparkSession, root: str) -> dict | None:
+    """What the pointer says: the snapshot's folder and version, the batch that wrote it, and the folder that the batch started from."""
+    fs, path = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(path):
+        return None
+    return json.loads(spark.read.text(f"{root}/CURRENT").first()[0])
+
+
+def load(spark: SparkSession, root: str, batch: str | None = None) -> dict[str, DataFrame]:
+    """The current state. A batch that is replayed after its snapshot became current starts from the one before, as it did at first."""
+    now = current(spark, root)
+    name, version = (None, VERSION) if now is None else (now["before"], now["before_version"]) if batch is not None and now["batch"] == batch else (now["folder"], now["version"])
+    if name is None:
         return {t: spark.createDataFrame([], ddl) for t, ddl in TABLES.items()}
-    name, version = spark.read.text(f"{root}/CURRENT").first()[0].split()
     return {t: migrate(spark.read.parquet(f"{root}/{name}/{t}"), t, int(version)) for t in TABLES}
 
 
-def save(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame]) -> None:
-    """One writer at a time. A snapshot of the same name is replaced, so a batch may be replayed."""
+def save(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFrame]) -> str:
+    """Write a snapshot into a folder of its own, then let the pointer name it, by a rename. One writer at a time.
+
+    Nothing that a pointer names is ever written again: an attempt that dies leaves the state as it was, and a replay of
+    the current batch takes its place, with the same predecessor. Gives the folder's name.
+    """
+    folder = f"{batch}-{uuid.uuid4().hex[:12]}"
     for t, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/{t}")
-    fs, path = _pointer(spark, root)
-    out = fs.create(path, True)
-    out.write(bytearray(f"{name} {VERSION}\n".encode()))
+        df.write.parquet(f"{root}/{folder}/{t}")
+    now = current(spark, root)
+    again = now is not None and now["batch"] == batch
+    before = (None, VERSION) if now is None else (now["before"], now["before_version"]) if again else (now["folder"], now["version"])
+    fs, at = _fs(spark, f"{root}/.CURRENT-{folder}")
+    out = fs.create(at, True)
+    out.write(bytearray((json.dumps({"folder": folder, "version": VERSION, "batch": batch, "before": before[0], "before_version": before[1]}) + "\n").encode()))
     out.close()
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, _fs(spark, f"{root}/CURRENT")[1], how)
+    return folder
+
+
+def prune(spark: SparkSession, root: str) -> list[str]:
+    """Remove snapshots that neither the pointer nor a replay of its batch can need; gives their names."""
+    now = current(spark, root)
+    fs, at = _fs(spark, root)
+    gone = []
+    for f in fs.listStatus(at) if now else []:
+        name = f.getPath().getName()
+        if f.isDirectory() and name not in (now["folder"], now["before"]):
+            fs.delete(f.getPath(), True)
+            gone.append(name)
+    return sorted(gone)

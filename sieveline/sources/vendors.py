@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_location_suffix, strip_html, when_reported
-from ..operators.extract import job_postings, posting_identifier, posting_location, rss_items
+from ..functions.text import city_from_slug, drop_location_suffix, page_title, strip_html, unescape_in_jvm, when_reported
+from ..operators.extract import LABELS_OF_PLACE, itemprops, job_postings, labelled_fields, posting_identifier, posting_location, rss_items
+from ..operators.urls import first_of_each
 
 POSTING = ["source", "company", "pos", "external_id", "title", "location", "hint", "url", "source_posted_at", "posted_at", "description"]
+POSTINGS = "source string, company string, pos long, external_id string, title string, location string, hint string, url string, source_posted_at string, posted_at timestamp, description string"
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -107,15 +109,62 @@ def eightfold(raw: DataFrame) -> DataFrame:
     return posting(d, or_else(F.col("e.displayJobId"), F.col("e.id").cast("string")), F.col("e.name"), or_else(F.col("e.publicUrl"), F.col("e.positionUrl")), place, None, at, at, strip_html(F.col("e.jobDescription")))
 
 
-@parser("jsonld")
-def jsonld(raw: DataFrame) -> DataFrame:
-    """Payloads are pages; company_url, if there, stands in for a posting's own address."""
-    d = job_postings(raw.select("source", "company", "payload"), "payload").withColumn("pos", F.col("block") * 100_000 + F.col("pos"))
+def from_json_ld(raw: DataFrame, own_url: Column, id_of_url: bool, unescaped: bool) -> DataFrame:
+    """Postings in the JSON-LD of pages; own_url, a column of raw, stands in for a posting's missing address."""
+    d = job_postings(raw.select("source", "company", own_url.alias("__own"), "payload"), "payload").withColumn("pos", F.col("block") * 100_000 + F.col("pos"))
     get = lambda p: F.try_variant_get("posting", p, "string")
     hint = F.coalesce(F.array_join(F.try_variant_get("posting", "$.employmentType", "array<string>"), " "), get("$.employmentType"), F.lit(""))
-    url = F.coalesce(get("$.url"), F.lit(""))
-    id_ = F.coalesce(posting_identifier(), F.sha2(url, 256))
-    return posting(d, id_, get("$.title"), url, posting_location(), hint, get("$.datePosted"), None, strip_html(get("$.description")))
+    url = or_else(get("$.url"), F.col("__own"))
+    body = get("$.description")
+    id_ = F.coalesce(posting_identifier(), url if id_of_url else F.sha2(url, 256))
+    return posting(d, id_, get("$.title"), url, posting_location(), hint, get("$.datePosted"), None, strip_html(unescape_in_jvm(body) if unescaped else body))
+
+
+def page_url(raw: DataFrame) -> Column:
+    return F.col("page_url") if "page_url" in raw.columns else F.col("company")
+
+
+@parser("jsonld")
+def jsonld(raw: DataFrame) -> DataFrame:
+    """Payloads are a board's pages. The board's own address (page_url, else company) stands in for a posting's missing one."""
+    return from_json_ld(raw, page_url(raw), False, False)
+
+
+@parser("sitemap_jsonld")
+def sitemap_jsonld(raw: DataFrame) -> DataFrame:
+    """Payloads are the pages (page_url) that a sitemap's traversal chose. Descriptions are escaped once more; the address is the identifier where there is none."""
+    return from_json_ld(raw, page_url(raw), True, True)
+
+
+@parser("rendered")
+def rendered(raw: DataFrame) -> DataFrame:
+    """Payloads are pages after scripts ran, that have JSON-LD."""
+    return from_json_ld(raw, page_url(raw), True, False)
+
+
+@parser("rendered_sitemap")
+def rendered_sitemap(raw: DataFrame) -> DataFrame:
+    """Payloads are the texts of rendered posting pages (page_url) below their titles (page_title): labels and values, then the description."""
+    split = labelled_fields()
+    raw = raw if "page_title" in raw.columns else raw.withColumn("page_title", F.regexp_extract("payload", r"^\s*([^\r\n]*)", 1))
+    d = raw.select("source", "company", F.lit(0).cast("long").alias("pos"), page_url(raw).alias("url"), F.trim("page_title").alias("title"), split(F.col("payload")).alias("f"))
+    of = lambda name: F.try_element_at("f.fields", F.lit(name))
+    place = F.concat_ws(", ", *[F.nullif(of(x), F.lit("")) for x in LABELS_OF_PLACE])
+    return posting(d, F.col("url"), F.col("title"), F.col("url"), place, F.coalesce(of("Type of contract"), F.lit("")), None, None, F.col("f.description"))
+
+
+@parser("successfactors_sitemap")
+def successfactors_sitemap(raw: DataFrame) -> DataFrame:
+    """Payloads are posting pages (page_url) with microdata. Title tag and address stand in for a missing title and place."""
+    d = raw.select("source", "company", F.lit(0).cast("long").alias("pos"), page_url(raw).alias("url"), "payload", itemprops(F.col("payload")).alias("m"))
+    first = lambda n: F.trim(F.coalesce(F.try_element_at(F.try_element_at("m", F.lit(n)), F.lit(1)), F.lit("")))
+    title = or_else(strip_html(first("title")), page_title(F.col("payload")))
+    return posting(d, F.col("url"), title, F.col("url"), or_else(strip_html(first("streetaddress")), city_from_slug(F.col("url"))), None, None, None, strip_html(first("description")))
+
+
+def is_feed(payload: Column) -> Column:
+    """Whether a sitemap's address gave a feed instead: its first 500 characters tell."""
+    return F.substring(payload, 1, 500).rlike(r"(?i)<rss\b")
 
 
 @parser("successfactors_rss")
@@ -125,6 +174,12 @@ def successfactors_rss(raw: DataFrame) -> DataFrame:
     return posting(d, F.col("gid"), drop_location_suffix(F.col("title"), place), F.col("link"), place, None, None, None, strip_html(strip_html(F.col("description"))))
 
 
+@parser("successfactors")
+def successfactors(raw: DataFrame) -> DataFrame:
+    """Feeds and posting pages, told apart by their beginnings."""
+    return successfactors_rss(raw.where(is_feed(F.col("payload")))).unionByName(successfactors_sitemap(raw.where(~is_feed(F.col("payload")))))
+
+
 @parser("talentsoft_rss")
 def talentsoft_rss(raw: DataFrame) -> DataFrame:
     d = rss_items(raw.select("source", "company", "payload"), "payload").where("NOT error")
@@ -139,12 +194,65 @@ def talentsoft_cards(raw: DataFrame) -> DataFrame:
     card = r'(?is)<a[^>]*class="[^"]*title-link[^"]*"[^>]*href="([^"]*)"[^>]*>(.*?)</a>\s*<ul[^>]*>(.*?)</ul>'
     part = lambda i: F.regexp_extract_all("payload", F.lit(card), i)
     d = raw.select("source", "company", F.posexplode(F.arrays_zip(part(1).alias("href"), part(2).alias("title"), part(3).alias("badges"))).alias("pos", "e"))
-    badges = F.transform(F.regexp_extract_all("e.badges", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), strip_html)
+    badges = F.transform(F.regexp_extract_all("e.badges", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), lambda b: strip_html(b))
     place = F.when(F.size(badges) > 1, F.array_join(F.slice(badges, F.lit(2), F.size(badges)), ", ")).otherwise("")
     id_ = F.regexp_extract("e.href", r"_(\d+)\.aspx", 1)
     return posting(d.where(id_ != ""), id_, strip_html(F.col("e.title")), F.col("e.href"), place, F.coalesce(F.try_element_at(badges, F.lit(1)), F.lit("")))
 
 
+def cards_total(payload: Column) -> Column:
+    """How many offers a listing page says there are; 0 where it says nothing."""
+    return F.coalesce(F.regexp_extract(payload, r"(?i)(\d+)\s*offre", 1).try_cast("int"), F.lit(0))
+
+
+def needs_feed(raw: DataFrame) -> DataFrame:
+    """Sources (source, company) whose listing pages say that there are offers, but show none: their feed is to be read."""
+    shown = talentsoft_cards(raw).select("source", "company").distinct()
+    said = raw.groupBy("source", "company").agg(F.max(cards_total(F.col("payload"))).alias("total")).where("total > 0")
+    return said.join(shown, ["source", "company"], "left_anti").select("source", "company")
+
+
+@parser("talentsoft")
+def talentsoft(raw: DataFrame) -> DataFrame:
+    """Listing pages, and feeds for those that show no offers."""
+    feed = is_feed(F.col("payload"))
+    pages = raw.where(~feed)
+    return talentsoft_cards(pages).unionByName(talentsoft_rss(raw.where(feed).join(needs_feed(pages), ["source", "company"])))
+
+
+def merged(postings: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One posting per source and external id, of several pages and search terms: the first by `order` (columns that number them), then place."""
+    return first_of_each(postings, ["source", "company", "external_id"], [*(order or []), "pos"])
+
+
+def eightfold_ids(raw: DataFrame) -> DataFrame:
+    """Search pages -> (source, company, id): the details to ask for, each once."""
+    d = entries(raw, "count int, positions array<struct<id:bigint>>", "positions")
+    return d.select("source", "company", F.col("e.id").alias("id")).where("id IS NOT NULL").distinct()
+
+
+#: The key that holds a payload's entries ('' where the payload is the list).
+ENTRIES = {"greenhouse": "jobs", "lever": "", "ashby": "jobs", "workday": "jobPostings", "smartrecruiters": "content", "jibe": "jobs"}
+
+
+def broken(raw: DataFrame, ats: str) -> DataFrame:
+    """(source, company, error) of payloads that can't be read: no JSON, no list of entries, no XML, no posting's JSON-LD."""
+    key = ["source", "company"]
+    if ats in ENTRIES:
+        v = F.try_parse_json("payload")
+        path = "$" + (f".{ENTRIES[ats]}" if ENTRIES[ats] else "")
+        return raw.where(F.try_variant_get(v, path, "array<variant>").isNull()).select(*key, F.lit(f"{ats}: malformed payload").alias("error"))
+    if ats == "eightfold":
+        return raw.where(F.try_parse_json("payload").isNull()).select(*key, F.lit("eightfold: malformed payload").alias("error"))
+    if ats in ("successfactors_rss", "talentsoft_rss", "successfactors", "talentsoft"):
+        feeds = raw.where(is_feed(F.col("payload"))) if ats in ("successfactors", "talentsoft") else raw
+        return rss_items(feeds.select(*key, "payload"), "payload").where("error").select(*key, F.lit(f"{ats}: malformed feed").alias("error")).distinct()
+    if ats == "jsonld":
+        has = job_postings(raw.select(*key, "payload"), "payload").select(*key).distinct()
+        return raw.select(*key).distinct().join(has, key, "left_anti").select(*key, F.lit("jsonld: no posting found").alias("error"))
+    return raw.where("payload IS NULL").select(*key, F.lit(f"{ats}: no payload").alias("error"))
+
+
 def parse(raw: DataFrame, ats: str) -> DataFrame:
     if ats not in PARSERS:
         raise ValueError(f"no parser for {ats}; there are {sorted(PARSERS)}")
