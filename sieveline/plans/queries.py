@@ -699,6 +699,21 @@ def q75_error_summary(spark, sf):
     return publish.error_summary(e, ["s_suppkey"], "poll", 400)
 
 
+@query(r"""WITH p AS (SELECT page_id, url, page_id AS pos, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages),
+j AS (SELECT * FROM p WHERE NOT (contains(lower(url), '/blog/') OR contains(lower(url), '/blogs/') OR contains(lower(url), '/news/') OR contains(lower(url), '/press/')) AND (regexp_matches(lower(url), '/(job|jobs|offre|offres|emploi|poste|career|vacancy)/') OR regexp_matches(url, '/\d{3,}([/?#-]|$)'))),
+d AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY host, coalesce(nullif(regexp_extract(url, '/(\d{3,})/?$', 1), ''), 'u:' || pos) ORDER BY pos) = 1),
+l AS (SELECT *, contains(lower(strip_accents(url)), '/en/') AS t, contains(lower(url), '/de/') AS v, count(*) OVER (PARTITION BY host) AS a, row_number() OVER (PARTITION BY host ORDER BY pos) - 1 AS n FROM d),
+m AS (SELECT *, max(t) OVER (PARTITION BY host) AS ta, max(v) OVER (PARTITION BY host) AS va FROM l),
+k AS (SELECT *, contains(url, '1') AS f FROM m WHERE CASE WHEN ta THEN t ELSE va AND v END),
+f AS (SELECT *, max(f) OVER (PARTITION BY host) AS fa FROM k),
+u AS (SELECT host, page_id, pos, CASE WHEN ta THEN 'search_terms' ELSE 'slug_vocabulary' END || CASE WHEN fa THEN '+location' ELSE '' END AS path FROM f WHERE f OR NOT fa
+  UNION ALL SELECT host, page_id, pos, 'sample' FROM m WHERE NOT ta AND NOT va AND (a <= 2 OR n IN (0, floor(a / 2.0::DOUBLE)::BIGINT)))
+SELECT host, page_id, path FROM u QUALIFY row_number() OVER (PARTITION BY host ORDER BY pos) <= 3""")
+def q76_selection_by_place(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", F.col("page_id").alias("pos"), t.url_host(F.col("url")).alias("host"))
+    return urls.select_urls(p, ["host"], ["/en/"], ("/de/",), ["1"], sample=2, cap=3).select("host", "page_id", "path")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """documents -> filter -> verdicts against a derived state -> counts of the next state by verdict."""
     b = _batch(spark, sf).withColumn("f", filters.apply(filters.Filters(filters.Locations(["en", "fr", "de"]), filters.Keywords(), ["other"])))
