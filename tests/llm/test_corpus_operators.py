@@ -381,6 +381,29 @@ def test_toxicity(spark, nothing):
     assert {r.predicted for r in toxicity.op5(d, labels.where("false")).collect()} == {0}
 
 
+def test_fit_minimises_the_non_negative_risk():
+    """Against the risk written out: no small step from the fit lowers it by much, and it is well below that of no model."""
+    r = np.random.default_rng(5)
+    positive = [np.unique(np.r_[r.integers(0, 6, 3), r.integers(20, 60, 8)]) for _ in range(60)]
+    unlabelled = [np.unique(r.integers(20, 60, 9)) if i % 5 else np.unique(np.r_[r.integers(0, 6, 3), r.integers(20, 60, 8)]) for i in range(300)]
+    prior = 0.2
+    names, w, bias = toxicity.fit(positive, unlabelled, prior)
+
+    def risk(w, bias):
+        z = lambda docs: np.array([bias + sum(w[np.searchsorted(names, f)] for f in d if f in names) for d in docs])
+        loss = lambda z: 1 / (1 + np.exp(z))  # of saying yes; that of no is its complement
+        yes, no_u, no_p = loss(z(positive)).mean(), 1 - loss(z(unlabelled)).mean(), 1 - loss(z(positive)).mean()
+        return prior * yes + max(0.0, no_u - prior * no_p)
+
+    best = risk(w, bias)
+    assert best < 0.5 * min(risk(0 * w, 0.0), risk(0 * w, -5.0), risk(0 * w, 5.0))
+    for _ in range(30):
+        step = r.normal(size=len(w) + 1) * 0.1
+        assert risk(w + step[:-1], bias + step[-1]) > best - 0.01
+    score = lambda d: bias + sum(w[np.searchsorted(names, f)] for f in d if f in names)
+    assert np.mean([score(d) > 0 for d in positive]) > 0.9 and np.mean([score(d) > 0 for i, d in enumerate(unlabelled) if i % 5]) < 0.1
+
+
 def test_vantage_points(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(900, 8)).astype("float32")
@@ -449,6 +472,46 @@ def test_imatch(spark, docs, nothing, rows):
     assert len(terms) == sum(len(rows) / 10 <= c <= len(rows) / 2 for c in n.values())
 
 
+def test_fingerprints_by_hand():
+    """Fingerprints and their likeness, term by term."""
+    import xxhash
+
+    r = random.Random(8)
+    vocabulary = words(r, 60)
+    terms = np.sort(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in set(vocabulary[:40])], np.uint64))
+    prints = imatch.Prints(terms)
+    one = lambda x: int(imatch.mix(np.array([x], np.uint64))[0])
+
+    def by_hand(text):
+        own = sorted({xxhash.xxh3_64_intdigest(w) for w in set(text.lower().encode().split())})
+        found = [t for t in own if t in set(terms.tolist())] or own
+        out = []
+        for k in range(imatch.RATES * imatch.EACH):
+            rate = k // imatch.EACH + 1
+            total, n = 0, 0
+            for t in found:
+                if one(t ^ one(k + 1)) >> (64 - rate) == 0:
+                    total = (total + one((t + n * 0x9E3779B97F4A7C15) % 2**64)) % 2**64
+                    n += 1
+            out.append(f"{one(total) >> (64 - 4 * imatch.SLOT):0{imatch.SLOT}x}" if n else "-" * imatch.SLOT)
+        return out
+
+    def alike(x, y):
+        best = 1.0 if x == y else 0.0
+        for at in range(0, len(x), imatch.EACH):
+            pairs = [(a, b) for a, b in zip(x[at : at + imatch.EACH], y[at : at + imatch.EACH]) if {a, b} != {"-" * imatch.SLOT}]
+            if len(pairs) >= imatch.EACH // 3:
+                best = max(best, sum(a == b for a, b in pairs) / len(pairs))
+        return best
+
+    texts = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (0, 1, 3, 10, 30, 30)] + [vocabulary[50]]
+    texts.append(texts[4] + " " + vocabulary[3])
+    hand = [by_hand(t) for t in texts]
+    assert [prints.of(t) for t in texts] == ["".join(h) for h in hand]
+    for x, y in ((a, b) for a in hand for b in hand):
+        assert imatch.likeness("".join(x), "".join(y)) == alike(x, y)
+
+
 def test_licenses(spark, nothing):
     cases = [("some text\nReleased under the MIT License.\nmore", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL"), ("the license of the house", ""), (None, ""), ("", ""), ("Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,CC-BY-NC")]
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
@@ -596,3 +659,125 @@ def test_runs_are_encoded_as_in_whole_texts():
         ids, ends = runs.encode(texts)
         for i, t in enumerate(texts):
             assert ids[ends[i] : ends[i + 1]].tolist() == tk.encode(t or "", add_special_tokens=False).ids
+
+
+def test_awkward_rows(spark):
+    """Repeated ids with equal and other texts, null ids, very long and empty texts, clashing columns: a row for each of the rows."""
+    r = random.Random(21)
+    text = lambda n: " ".join(words(r, n))
+    one, long = text(80), text(30_000)
+    rows = [(1, one), (1, one), (1, text(70)), (2, one), (None, one), (None, None), (None, text(5)), (3, long), (3, long), (4, ""), (5, None), (5, None), (6, "word"), (-7, one + " more")]
+    d = spark.createDataFrame([(*x, "en", f"s{i % 3}" if i % 4 else None) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    for c in ("score", "piece", "start", "length", "fingerprint", "__k", "__cell", "shard", "component_id", "id", "size"):
+        d = d.withColumn(c, F.lit("x"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    n = len(rows)
+    assert sorted(r.slot for r in ring.op3(d, 1).collect()) == list(range(n))
+    pieces = packing.op4(d).collect()
+    assert len([p for p in pieces if p.piece == 0]) == n and sum(p.length for p in pieces if p.doc_id is None) > 6
+    assert toxicity.op5(d, labels).count() == n and toxicity.op5(d, labels.limit(0)).count() == n
+    six = jaccard.op6(d).collect()
+    assert len(six) == n and {x.component_id for x in six if x.doc_id in (1, 2, -7) and x.n_shingles > 66} == {-7} and {x.component_id for x in six if x.doc_id is None} == {None}
+    assert {x.component_id for x in six if x.doc_id == 1} == {-7}  # with its other text
+    eight = imatch.op8(d, 4).collect()
+    assert len(eight) == n and len({x.fingerprint for x in eight if x.doc_id in (1, 2) and x.n_chars == len(one)}) == 1
+    assert mixing.op9(d).count() == n and licenses.op10(d).count() == n
+    assert {(1, -7), (2, -7)} <= {(x.doc_id, x.match_id) for x in passages.find(d).collect()} <= {(1, -7), (2, -7), (2, 1)}
+    kept = jaccard.one_of_each(d)
+    assert kept.columns == d.columns
+    ids = Counter(x.doc_id for x in kept.collect())
+    assert ids == {None: 3, -7: 1, 1: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    more = d.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert jaccard.one_of_each(more).count() == 9
+    assert jaccard.one_of_each(d.where("doc_id IS NULL")).count() == 3  # nothing else decides about rows without an id
+
+
+def test_a_large_cluster_in_regions(spark, monkeypatch):
+    """A chain of variants and a ball of copies, beyond what one task joins; against all pairs."""
+    monkeypatch.setattr(jaccard, "LOCAL", 24)
+    monkeypatch.setattr(jaccard, "CELL", 64)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BALL", 16)
+    r = random.Random(22)
+    base, rows = words(r, 120), []
+    for i in range(150):  # each differs from the next in one word, the ends in all
+        rows.append((i, " ".join(base)))
+        base = [*base]
+        base[i % 120] = words(r, 1)[0] + "x"
+    core = words(r, 120)
+    for i in range(200):
+        w = [*core]
+        w[r.randrange(120)] = f"v{i}"
+        rows.append((1000 + i, " ".join(w)))
+    far = [*core]
+    for i in range(0, 120, 9):
+        far[i] = f"f{i}"
+    rows += [(2000, " ".join(far)), (2001, " ".join(words(r, 120)))]
+    s = sets([(i, t) for i, t in rows], 4)
+    root = {i: i for i in s}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in s:
+        for b in s:
+            if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in jaccard.op6(d).collect()} == {i: find(i) for i in s}
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path):
+    """Each stage's result from its input, by plain loops."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    more = [(200 + i, " ".join(words(r, 40) + ["grumble", "grumbler"] * (i % 4 == 0)), "en", f"s{i % 4}", 1, "x", "x", "x", "x") for i in range(120)]
+    spark.createDataFrame(rows + more, DDL).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i[0], 1, int("grumble" in i[1])) for i in more], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf, d = str(tmp_path), common.read_table(spark, str(tmp_path), "documents")
+    text = lambda df: {x.doc_id: x.text for x in df.collect()}
+    stages = dict(cp.STAGES)
+    clean = common.materialize(stages["toxicity"](spark, d, sf), "a")
+    labels = common.read_table(spark, sf, "labels")
+    names, w, bias = toxicity.train(d.select("doc_id", "text"), labels)
+    weight = dict(zip(names.tolist(), w.tolist()))
+    of = toxicity.WordFeatures()
+    assert set(text(clean)) == {i for i, t in text(d).items() if bias + sum(weight.get(f, 0.0) for f in toxicity.features(t, of)) < 0}
+    assert not any("grumble" in (t or "") for t in text(clean).values()) and len(text(clean)) >= len(rows) + 80
+    one = common.materialize(stages["ngram_jaccard_join"](spark, clean, sf), "b")
+    s, root = sets(text(clean).items(), 5), {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert set(text(one)) == {i for i in s if find(i) == i}
+    cut = common.materialize(stages["substring_dedup"](spark, one, sf), "c")
+    before, after, seen = text(one), text(cut), set()
+    for i in sorted(before):
+        words_ = common.words_of(before[i])
+        runs = {tuple(words_[j : j + 50]) for j in range(len(words_) - 49)}
+        if not runs & seen:
+            assert after[i] == before[i]
+        kept = common.words_of(after.get(i))
+        assert not {tuple(kept[j : j + 50]) for j in range(len(kept) - 49)} & seen
+        seen |= runs
+    mixed = common.materialize(stages["source_mixing"](spark, cut, sf), "d")
+    want = {x.doc_id: x.copies for x in mixing.systematic(cut.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("__k")), ["doc_id", "__k"]).collect()}
+    assert Counter(x.doc_id for x in mixed.collect()) == Counter({i: n for i, n in want.items() if n})
+    tk = Tokenizer.from_file(packing.default_tokenizer())
+    packed = stages["best_fit_packing"](spark, mixed, sf).collect()
+    assert sum(p.length for p in packed) == sum(len(tk.encode(x.text or "", add_special_tokens=False).ids) + 1 for x in mixed.collect())
+    assert {(p.doc_id, p.length) for p in packed} == {(p.doc_id, p.length) for p in cp.run(spark, sf).collect()}
