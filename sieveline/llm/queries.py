@@ -19,6 +19,7 @@ _OPS = {
     "op9_systematic_mixing": ("mixing", "op9", "documents"),
     "op10_license_paragraphs": ("licenses", "op10", "documents"),
     "op11_trie_variants": ("spelling", "op11", "documents"),
+    "op12_louds_tries": ("tries", "op12", "conversations"),
     "op13_line_dedup": ("lines", "op13", "documents"),
 }
 
@@ -39,6 +40,7 @@ def oracle_sql() -> dict[str, str]:
     from .lines import OP13_SQL
     from .mixing import OP9_SQL
     from .spelling import OP11_SQL
+    from .tries import OP12_SQL
     from .vptree import OP7_SQL
 
-    return {"op7_vantage_point_trees": OP7_SQL, "op9_systematic_mixing": OP9_SQL, "op11_trie_variants": OP11_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op7_vantage_point_trees": OP7_SQL, "op9_systematic_mixing": OP9_SQL, "op11_trie_variants": OP11_SQL, "op12_louds_tries": OP12_SQL, "op13_line_dedup": OP13_SQL}
