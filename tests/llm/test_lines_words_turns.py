@@ -196,3 +196,28 @@ def test_succinct_tries_hold_all_prefixes(spark):
                 j = parent[j]
             got.add(tuple(way[::-1]))
     assert got == want
+
+
+def test_mixing_counts_copies_at_any_place(spark):
+    """As exact integers have it, far beyond 2**32 documents in a source."""
+    from pyspark.sql import functions as F
+
+    from sieveline.llm import mixing
+
+    r = random.Random(8)
+    cases = [(p, e, o) for p in (1, 2, 3, 10**6, 5_000_000_000, 5_000_000_001, 2**40 + 7) for e in (0, 1, 2**29, 2**30 - 1, 2**30, 2**31, r.randrange(2**31)) for o in (0, 4 * r.randrange(2**28))]
+    df = spark.createDataFrame(cases, "p long, e long, o long")
+    got = df.select("p", "e", "o", mixing.crossed(F.col("p"), F.col("e"), F.col("o")).alias("n")).collect()
+    assert len(got) == len(cases)
+    for p, e, o, n in got:
+        assert n == ((p * e + o) >> 30) - (((p - 1) * e + o) >> 30)
+
+
+def test_toxic_stage_keeps_a_clashing_column(spark):
+    from sieveline.llm import toxicity
+
+    docs = spark.createDataFrame([(i, "vile words here" if i % 3 == 0 else "kind words there", f"x{i}") for i in range(60)], "doc_id long, text string, __toxicity string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    out = toxicity.without_toxic(docs, labels)
+    assert out.columns == docs.columns
+    assert {(x.doc_id, x["__toxicity"]) for x in out.collect()} <= {(i, f"x{i}") for i in range(60)}
