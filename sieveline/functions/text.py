@@ -39,17 +39,6 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one + none), "".join(to), more
 
 
-def char_class(chars) -> str:
-    """A pattern's class of these characters, as ranges."""
-    points, spans = sorted(map(ord, chars)), []
-    for n in points:
-        if spans and spans[-1][1] == n - 1:
-            spans[-1][1] = n
-        else:
-            spans.append([n, n])
-    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
-
-
 def _jamo(c: Column) -> Column:
     """A Korean syllable as its letters, by the rule that orders them."""
     first, leads, vowels, tails = HANGUL
@@ -64,9 +53,10 @@ def _expanded(x: Column) -> Column:
     more = fold_tables()[2]
     syllable = (F.lit(chr(HANGUL[0])), F.lit(chr(HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3] - 1)))
     table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
-    any_of = char_class([*more, *map(chr, range(HANGUL[0], HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3]))])
+    # one look-up for each character tells whether there are any; a class of hundreds of ranges is much slower
+    many = "".join([*more, *map(chr, range(HANGUL[0], HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3]))])
     one = lambda c: F.when(F.octet_length(c) < 2, c).when(c.between(*syllable), _jamo(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))
-    return F.when(x.rlike(any_of), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
+    return F.when(F.length(F.translate(x, many, "")) != F.length(x), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
 
 
 def bind(x: Column, f) -> Column:

@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..functions.identity import fingerprint, job_id
 from ..operators import discovery, extract, filters, health, publish, robots, urls, verdict
 from ..operators.classify import Lexicon, contract_type
+from ..sources import paged, scratch
 from ..sources.vendors import parse
 
 NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -720,3 +721,56 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     jobs, fps = _state(b)
     judged = verdict.verdicts(b.where("f.passed").drop("f"), jobs, fps, now())
     return verdict.next_jobs(judged, jobs, now()).groupBy("last_verdict").agg(F.count("*").alias("n"))
+
+
+# ---- paged boards, read back by the data source
+
+
+_SEGMENTS = ["BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE", "HOUSEHOLD"]
+_MOST = 2000
+
+
+def _boards(spark, sf) -> DataFrame:
+    """Pages of 20 of a board for each region: customers of the segment that is searched for, every seventh for any segment."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    c = table(spark, sf, "customer").join(nations, "c_nationkey").join(table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey")
+    c = c.withColumn("company", F.concat(F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))), F.lit(".wd1.Careers")))
+    c = c.withColumn("term", F.explode(F.when(F.col("c_custkey") % 7 == 0, F.array(*map(F.lit, _SEGMENTS))).otherwise(F.array("c_mktsegment"))))
+    c = c.withColumn("rn", F.row_number().over(W.partitionBy("company", "term").orderBy("c_custkey")))
+    entry = F.struct("rn", F.struct(F.col("c_name").alias("title"), F.concat(F.lit("/job/"), F.col("c_custkey")).alias("externalPath"), F.col("n_name").alias("locationsText")).alias("e"))
+    pages = c.groupBy("company", "term", F.ceil(F.col("rn") / 20).cast("int").alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("es"))
+    total = c.groupBy("company", "term").agg(F.count("*").alias("total"))
+    payload = F.to_json(F.struct("total", F.transform("es", lambda x: x["e"]).alias("jobPostings")))
+    return pages.join(total, ["company", "term"]).select(F.lit("workday").alias("vendor"), "company", "term", F.lit("").alias("facet"), "page", payload.alias("payload"))
+
+
+def _scanned(spark, sf):
+    root = scratch.folder(spark, "pages")
+    paged.record(_boards(spark, sf), root)
+    regions = [r[0] for r in table(spark, sf, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("-")))).collect()]  # the list of boards is configuration
+    pages = paged.scan(spark, "workday", [{"company": f"{r}.wd1.Careers"} for r in sorted(regions)], _SEGMENTS, root=root)
+    found = parse(paged.complete(pages), "workday")
+    return pages, found, paged.budgeted(found, _MOST)
+
+
+_PAGED = """WITH c AS (SELECT replace(lower(r_name), ' ', '-') || '.wd1.Careers' AS company, c_custkey, c_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+t AS (SELECT * FROM (VALUES (0, 'BUILDING'), (1, 'MACHINERY'), (2, 'FURNITURE'), (3, 'AUTOMOBILE'), (4, 'HOUSEHOLD')) t(term_no, term)),
+m AS (SELECT c.*, term, term_no, row_number() OVER (PARTITION BY company, term ORDER BY c_custkey) AS rn FROM c JOIN t ON c_mktsegment = term OR c_custkey % 7 = 0),
+r AS (SELECT *, ((rn + 19) // 20)::INTEGER AS page FROM m WHERE rn <= 600),
+d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY company, c_custkey ORDER BY term_no, rn) = 1),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY company ORDER BY term_no, rn) <= 2000)"""
+
+
+@query(_PAGED + " SELECT company, '/job/' || c_custkey AS external_id, c_name AS title, n_name AS location, 'https://' || split_part(company, '.', 1) || '.wd1.myworkdayjobs.com/Careers/job/' || c_custkey AS url, term, page FROM k")
+def q77_paged_postings(spark, sf):
+    return _scanned(spark, sf)[2].select("company", "external_id", "title", "location", "url", "term", "page")
+
+
+@query(
+    _PAGED
+    + """, p AS (SELECT company, term, max(page) AS pages, (SELECT count(*) FROM m WHERE m.company = r.company AND m.term = r.term) > 600 AS more FROM r GROUP BY company, term),
+q AS (SELECT company, sum(pages)::BIGINT AS pages, count(*) FILTER (more)::BIGINT AS page_warnings FROM p GROUP BY company)
+SELECT 'workday' AS source, company, pages, page_warnings, 0::BIGINT AS errors, (SELECT count(*) FROM d WHERE d.company = q.company)::BIGINT AS found, (SELECT count(*) FROM k WHERE k.company = q.company)::BIGINT AS kept FROM q"""
+)
+def q78_page_report(spark, sf):
+    return paged.report(*_scanned(spark, sf))

@@ -13,6 +13,8 @@ from ..operators.urls import first_of_each
 
 POSTING = ["source", "company", "pos", "external_id", "title", "location", "hint", "url", "source_posted_at", "posted_at", "description"]
 POSTINGS = "source string, company string, pos long, external_id string, title string, location string, hint string, url string, source_posted_at string, posted_at timestamp, description string"
+#: Columns of raw payloads that postings keep, where there are any: which search term and page gave them.
+CARRIED = ["term", "term_no", "page"]
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -24,10 +26,15 @@ def parser(name: str):
     return keep
 
 
-def entries(raw: DataFrame, ddl: str, path: str = "") -> DataFrame:
-    """A row per entry of the payload's array, with its place; payloads that don't parse have none."""
-    parsed = F.from_json("payload", ddl)
-    return raw.select("source", "company", F.posexplode(parsed[path] if path else parsed).alias("pos", "e"))
+def entries(raw: DataFrame, kind: str, path: str = "") -> DataFrame:
+    """A row per entry of the payload's list (at path, or the payload itself), with its place. Payloads that don't parse have none; each entry is parsed by itself, so that a bad one spoils no other."""
+    lists = F.from_json("payload", f"{path} array<string>" if path else "array<string>")
+    d = raw.select("source", "company", *carried(raw), F.posexplode(lists[path] if path else lists).alias("pos", "e"))
+    return d.withColumn("e", F.from_json("e", kind))
+
+
+def carried(d: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in d.columns]
 
 
 def text(c: str) -> Column:
@@ -44,28 +51,28 @@ def posting(d: DataFrame, id_: Column, title: Column, url: Column, location=None
     out = d.select(
         "source", "company", "pos", id_.cast("string").alias("external_id"), title.alias("title"), (location if location is not None else F.lit("")).alias("location"),
         (hint if hint is not None else F.lit("")).alias("hint"), url.alias("url"), (at if at is not None else none).cast("string").alias("source_posted_at"),
-        (posted if posted is not None else when_reported(at) if at is not None else none).cast("timestamp").alias("posted_at"), (description if description is not None else F.lit("")).alias("description"),
+        (posted if posted is not None else when_reported(at) if at is not None else none).cast("timestamp").alias("posted_at"), (description if description is not None else F.lit("")).alias("description"), *carried(d),
     )
     return out.where((F.trim("title") != "") & (F.col("url") != ""))
 
 
 @parser("greenhouse")
 def greenhouse(raw: DataFrame) -> DataFrame:
-    d = entries(raw, "jobs array<struct<id:bigint,title:string,updated_at:string,location:struct<name:string>,absolute_url:string,content:string>>", "jobs")
+    d = entries(raw, "struct<id:bigint,title:string,updated_at:string,location:struct<name:string>,absolute_url:string,content:string>", "jobs")
     p = posting(d, F.col("e.id"), F.col("e.title"), F.col("e.absolute_url"), text("e.location.name"), None, F.col("e.updated_at"), None, strip_html(F.col("e.content")))
     return p.where("source_posted_at IS NULL OR posted_at IS NOT NULL")  # a bad date loses the entry
 
 
 @parser("lever")
 def lever(raw: DataFrame) -> DataFrame:
-    d = entries(raw, "array<struct<id:string,text:string,hostedUrl:string,createdAt:bigint,categories:struct<location:string,commitment:string>,descriptionPlain:string,description:string>>")
+    d = entries(raw, "struct<id:string,text:string,hostedUrl:string,createdAt:bigint,categories:struct<location:string,commitment:string>,descriptionPlain:string,description:string>")
     at = F.timestamp_millis("e.createdAt")
     return posting(d, F.col("e.id"), F.col("e.text"), F.col("e.hostedUrl"), text("e.categories.location"), text("e.categories.commitment"), at, at, or_else(F.col("e.descriptionPlain"), strip_html(F.col("e.description"))))
 
 
 @parser("ashby")
 def ashby(raw: DataFrame) -> DataFrame:
-    d = entries(raw, "jobs array<struct<id:string,title:string,jobUrl:string,location:string,employmentType:string,publishedAt:string,descriptionPlain:string,descriptionHtml:string>>", "jobs")
+    d = entries(raw, "struct<id:string,title:string,jobUrl:string,location:string,employmentType:string,publishedAt:string,descriptionPlain:string,descriptionHtml:string>", "jobs")
     p = posting(d, F.col("e.id"), F.col("e.title"), F.col("e.jobUrl"), text("e.location"), text("e.employmentType"), F.col("e.publishedAt"), None, or_else(F.col("e.descriptionPlain"), strip_html(F.col("e.descriptionHtml"))))
     return p.where("source_posted_at IS NULL OR posted_at IS NOT NULL")
 
@@ -73,7 +80,7 @@ def ashby(raw: DataFrame) -> DataFrame:
 @parser("workday")
 def workday(raw: DataFrame) -> DataFrame:
     """company is tenant.wdN.site; addresses are built from it."""
-    d = entries(raw, "total int, jobPostings array<struct<title:string,externalPath:string,timeType:string,locationsText:string,bulletFields:array<string>>>", "jobPostings").where("e.externalPath IS NOT NULL")
+    d = entries(raw, "struct<title:string,externalPath:string,timeType:string,locationsText:string,bulletFields:array<string>>", "jobPostings").where("e.externalPath IS NOT NULL")
     host = F.regexp_extract("company", r"^([^.]+\.wd\d+)\.", 1)
     site = F.regexp_extract("company", r"^[^.]+\.wd\d+\.([^|]+)", 1)
     url = F.concat(F.lit("https://"), host, F.lit(".myworkdayjobs.com/"), site, F.col("e.externalPath"))
@@ -83,7 +90,7 @@ def workday(raw: DataFrame) -> DataFrame:
 
 @parser("smartrecruiters")
 def smartrecruiters(raw: DataFrame) -> DataFrame:
-    d = entries(raw, "content array<struct<id:string,name:string,releasedDate:string,location:struct<fullLocation:string>,typeOfEmployment:struct<label:string>,experienceLevel:struct<label:string>>>", "content")
+    d = entries(raw, "struct<id:string,name:string,releasedDate:string,location:struct<fullLocation:string>,typeOfEmployment:struct<label:string>,experienceLevel:struct<label:string>>", "content")
     url = F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.col("company"), F.lit("/"), F.col("e.id"))
     hint = F.trim(F.concat_ws(" ", "e.typeOfEmployment.label", "e.experienceLevel.label"))
     return posting(d, F.col("e.id"), F.col("e.name"), url, text("e.location.fullLocation"), hint, F.col("e.releasedDate"))
@@ -92,7 +99,7 @@ def smartrecruiters(raw: DataFrame) -> DataFrame:
 @parser("jibe")
 def jibe(raw: DataFrame) -> DataFrame:
     one = "struct<slug:string,req_id:string,title:string,description:string,full_location:string,location_name:string,city:string,employment_type:string,apply_url:string,posted_date:string>"
-    d = entries(raw, f"totalCount int, jobs array<map<string,{one}>>", "jobs").where("size(e) = 1").withColumn("e", F.map_values("e")[0])
+    d = entries(raw, f"map<string,{one}>", "jobs").where("size(e) = 1").withColumn("e", F.map_values("e")[0])
     id_ = or_else(F.col("e.slug"), F.col("e.req_id"))
     url = or_else(F.col("e.apply_url"), F.concat(F.col("company"), F.lit("/jobs/"), id_))
     place = or_else(F.col("e.full_location"), F.col("e.location_name"), F.col("e.city"))
@@ -227,7 +234,8 @@ def merged(postings: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def eightfold_ids(raw: DataFrame) -> DataFrame:
     """Search pages -> (source, company, id): the details to ask for, each once."""
-    d = entries(raw, "count int, positions array<struct<id:bigint>>", "positions")
+    inner = F.coalesce(F.get_json_object("payload", "$.data"), F.col("payload"))
+    d = entries(raw.withColumn("payload", inner), "struct<id:bigint>", "positions")
     return d.select("source", "company", F.col("e.id").alias("id")).where("id IS NOT NULL").distinct()
 
 
