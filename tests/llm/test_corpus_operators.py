@@ -178,7 +178,7 @@ def test_a_buffer_matches_what_many_have():
     left = [(int(h), int(d)) for x in out if x["doc_bucket"] < 0 for d, h in [passages.unpack_by(x["blob"])[:2]] for h, d in zip(np.cumsum(h), d)]
     assert sorted(left) == [(6, 0), (6, 0), (7, 0), (7, 0), (9, 0), (9, 1), (9, 2)]
     links = matches_in(x["blob"] for x in out if x["doc_bucket"] >= 0)
-    want = [(d, 0, k) for d in range(1, 12) for k in (passages.LONG, passages.FIRST)] + [(d, d - 1, passages.SECOND) for d in range(2, 12)]
+    want = [(d, 0, k) for d in range(1, 12) for k in (passages.LONG, passages.SHORT)] + [(d, d - n, passages.SHORT) for n in range(1, passages.NEXT + 1) for d in range(n + 1, 12)]
     assert Counter((g[0], g[5], g[1]) for g in links) == Counter({x: 2 for x in want}) and all(g[6] == 10 * g[5] for g in links)
 
 

@@ -221,3 +221,44 @@ def test_toxic_stage_keeps_a_clashing_column(spark):
     out = toxicity.without_toxic(docs, labels)
     assert out.columns == docs.columns
     assert {(x.doc_id, x["__toxicity"]) for x in out.collect()} <= {(i, f"x{i}") for i in range(60)}
+
+
+def test_word_hashes_are_of_words_alone():
+    """The same word has the same hash wherever it stands, also across the spans that are hashed together; others differ."""
+    from sieveline.llm import passages
+
+    r = random.Random(12)
+    pool = ["a", "b", "ab", "ba", "aa", "é", "ü½", "\0", "\0\0", "x" * 5000, "x" * 5001, *("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 12))) for _ in range(3000))]
+    words = [r.choice(pool) for _ in range(90_000)]
+    text = " \t" + "".join(w + r.choice([" ", "\n", "  ", "\x0b"]) for w in words)
+    h, first, end = passages.word_hashes(text.encode(), passages.Powers())
+    assert len(h) == len(words) and len(text.encode()) > passages.SPAN
+    assert [text[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)] == words
+    seen = {}
+    for w, x in zip(words, h.tolist(), strict=True):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    alone = passages.word_hashes(b"y" * (passages.SPAN + 9) + b" ab", passages.Powers())[0]
+    assert alone[1] == seen["ab"] and len(passages.word_hashes(b" \n", passages.Powers())[0]) == 0
+
+
+def test_changed_passages_of_many_holders_are_found(spark):
+    """400 documents with one passage, of whose words a tenth is changed at random in each; exact runs come out alike however rows are dealt."""
+    from sieveline.llm import passages
+
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base, exact = [word() for _ in range(80)], [word() for _ in range(60)]
+    texts = []
+    for i in range(400):
+        changed = [word() if r.random() < 0.1 else x for x in base]
+        texts.append((i, " ".join([word() for _ in range(40)] + changed + [word() for _ in range(40)] + exact * (i % 3 == 0))))
+    docs, runs = spark.createDataFrame(texts, "doc_id long, text string"), []
+    for parts in (1, 7):
+        got = defaultdict(set)
+        found = passages.find(docs.repartition(parts)).collect()
+        for x in found:
+            got[x.doc_id].update(range(x.start_word, x.end_word))
+        assert sum(len(got[i] & set(range(40, 120))) >= 40 for i in range(1, 400)) >= 0.9 * 399
+        runs.append({i: sorted(got[i] & set(range(160, 220))) for i in range(0, 400, 3)})
+    assert runs[0] == runs[1] and all(len(runs[0][i]) == 60 for i in range(3, 400, 3))
