@@ -48,6 +48,18 @@ def load(spark: SparkSession, root: str, batch: str | None = None) -> dict[str,
     return {t: migrate(spark.read.parquet(f"{root}/{name}/{t}"), t, int(version)) for t in TABLES}
 
 
+def point(spark: SparkSession, root: str, name: str, content: dict) -> None:
+    """Let the pointer file say this from now on: a new file takes its place by a rename. name: of the one who writes, not used twice."""
+    fs, at = _fs(spark, f"{root}/.CURRENT-{name}")
+    out = fs.create(at, True)
+    out.write(bytearray((json.dumps(content) + "\n").encode()))
+    out.close()
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, _fs(spark, f"{root}/CURRENT")[1], how)
+
+
 def save(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFrame]) -> str:
     """Write a snapshot into a folder of its own, then let the pointer name it, by a rename. One writer at a time.
 
@@ -60,14 +72,7 @@ def save(spark: SparkSession, root: str, batch: str, tables: dict[str, DataFrame
     now = current(spark, root)
     again = now is not None and now["batch"] == batch
     before = (None, VERSION) if now is None else (now["before"], now["before_version"]) if again else (now["folder"], now["version"])
-    fs, at = _fs(spark, f"{root}/.CURRENT-{folder}")
-    out = fs.create(at, True)
-    out.write(bytearray((json.dumps({"folder": folder, "version": VERSION, "batch": batch, "before": before[0], "before_version": before[1]}) + "\n").encode()))
-    out.close()
-    jvm = spark._jvm
-    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, _fs(spark, f"{root}/CURRENT")[1], how)
+    point(spark, root, folder, {"folder": folder, "version": VERSION, "batch": batch, "before": before[0], "before_version": before[1]})
     return folder
 
 
