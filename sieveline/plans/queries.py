@@ -10,8 +10,9 @@ from ..functions import text as t
 from ..functions.identity import fingerprint, job_id
 from ..operators import discovery, extract, filters, health, publish, robots, urls, verdict
 from ..operators.classify import Lexicon, contract_type
-from ..sources import paged, scratch
+from ..sources import layers, paged, scratch
 from ..sources.vendors import parse
+from ..streaming import stateful
 
 NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 QUERIES: dict = {}
@@ -774,3 +775,43 @@ SELECT 'workday' AS source, company, pages, page_warnings, 0::BIGINT AS errors,
 )
 def q78_page_report(spark, sf):
     return paged.report(*_scanned(spark, sf))
+
+
+# ---- the same state, in layers and as streaming state
+
+
+@query(SQL["q16_next_state"])
+def q79_layered_state(spark, sf):
+    """The whole prior state as the first layer, then one batch of all documents as changes on top of it."""
+    b = _batch(spark, sf)
+    jobs, fps = _state(b)
+    store = layers.Layers(spark, scratch.folder(spark, "layers"), buckets=16)
+    store.write("before", {"jobs": jobs, "fingerprints": fps})
+    layers.advance(store, "all", b, now()).unpersist()
+    return store.read("jobs", columns=["job_id", "title", "first_seen_at", "last_seen_at", "published_at", "disappeared_at", "last_verdict", "publish_pending"])
+
+
+@query(SQL["q14_verdict"])
+def q80_streamed_verdicts(spark, sf):
+    """The prior state's three days as earlier files of a stream, then all documents: keyed state gives the verdicts of the last day."""
+    day = F.when(F.col("seq") % 5 == 0, "2024-01-30 12:00:00").when(F.col("seq") % 5 == 1, "2024-01-24 00:00:00").otherwise("2023-06-01 00:00:00")
+    b = _batch(spark, sf)
+    cols = ["job_id", "seq", *[c for c in verdict.COMPARED if c in b.columns]]
+    old = b.where("seq % 4 <> 3 AND seq % 5 <> 4").withColumn("title", F.when(F.col("seq") % 10 == 5, "changed").otherwise(F.col("title")))
+    old = old.withColumn("polled_at", day.cast("timestamp"))
+    root, held = scratch.folder(spark, "stream"), {}
+    options = {"spark.sql.streaming.stateStore.providerClass": stateful.PROVIDER, "spark.sql.shuffle.partitions": str(min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    for k, v in options.items():
+        held[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    try:
+        for part in (*(old.where(F.col("polled_at") == F.lit(d).cast("timestamp")) for d in ("2023-06-01 00:00:00", "2024-01-24 00:00:00", "2024-01-30 12:00:00")), b.withColumn("polled_at", now())):
+            part = part.select(*cols, "polled_at")
+            part.write.mode("append").parquet(f"{root}/in")
+            rows = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+            q = stateful.judged(rows).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/point").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    return spark.read.parquet(f"{root}/out").where((F.col("kind") == "verdict") & (F.col("polled_at") == now())).select("seq", "job_id", "verdict")
