@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import no_apostrophes, normalize, phrase
 
@@ -36,19 +34,24 @@ def pattern(alternatives: tuple[str, ...]) -> str:
     return rf"\b(?:{'|'.join(alternatives)})\b" if alternatives else r"(?!)"
 
 
-def near_offer(lex: Lexicon, terms: tuple[str, ...]):
-    """A UDF: any match with a word of an offer in the characters around it. The window is cut by characters, as words go."""
-    hit, offer, width = re.compile(pattern(terms)), re.compile(pattern(lex.offer)), lex.window
+def near_offer(lex: Lexicon, terms: tuple[str, ...], text: Column) -> Column:
+    """Whether a match of the terms has a word of an offer in the characters around it. The window is cut by characters, whatever words it cuts.
 
-    @F.pandas_udf(T.BooleanType())
-    def near(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: any(offer.search(t[max(0, m.start() - width) : m.end() + width]) for m in hit.finditer(t or "")) if t else False).astype(bool)
-
-    return near
+    One pattern gives each match's window: what stands before it, up to the window's width, by looking back, and the match with what
+    follows by looking ahead; only the match itself is consumed.
+    """
+    hit, w = pattern(terms), lex.window
+    window = rf"(?s)(?=({hit}.{{0,{w}}}))(?<=(^.{{0,{max(0, w - 1)}}}|.{{{w}}})){hit}"
+    before = 2 + re.compile(hit).groups
+    # looking back counts halves of characters beyond the first plane, so these are one of a kind here
+    far = r"[\x{10000}-\x{10FFFF}]"
+    plain = F.when(text.rlike(far), F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}&&[\p{L}\p{N}]]", "\u4e00"), far, "\ufffd")).otherwise(text)
+    parts = lambda i: F.regexp_extract_all(plain, F.lit(window), i)
+    return F.exists(F.zip_with(parts(before), parts(1), lambda a, b: F.concat(a, b)), lambda x: x.rlike(pattern(lex.offer)))
 
 
 def contract_type(lex: Lexicon = Lexicon(), exact: bool = False, windows: bool = True) -> Column:
-    """Title first, then hint, then the description within the window. windows: False leaves the description out (no UDF)."""
+    """Title first, then hint, then the description within the window. windows: False leaves the description out."""
     fold = lambda c: no_apostrophes(normalize(F.coalesce(F.col(c), F.lit("")), exact))
     title, hint, text = fold("title"), fold("hint"), fold("description")
     marked = F.concat_ws(" ", title, text, hint).rlike(pattern(lex.markers))
@@ -59,6 +62,6 @@ def contract_type(lex: Lexicon = Lexicon(), exact: bool = False, windows: bool =
 
     out = F.when(title.rlike(appr), "apprenticeship").when(intern(title), "internship").when(hint.rlike(appr), "apprenticeship").when(intern(hint), "internship")
     if windows:
-        near = lambda terms: near_offer(lex, terms)(text)
+        near = lambda terms: near_offer(lex, terms, text)
         out = out.when(near(lex.apprenticeship), "apprenticeship").when(near(lex.internship) | (marked & near(lex.ambiguous)), "internship")
     return out.otherwise("other")

@@ -11,11 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, normalize, phrase
+from . import automaton
 
 CONTRACT_TYPES = ("internship", "apprenticeship", "other")
 FIELDS = ("company", "title", "location", "description", "contract_type")
 
 
+#: Terms from which on a list is looked up by an automaton and not by a pattern or an expression for each.
+MANY = 64
+
+
 def folded(term: str) -> str:
     t = "".join(c for c in unicodedata.normalize("NFKD", term) if not unicodedata.combining(c))
     return " ".join(t.lower().split())
@@ -29,11 +34,20 @@ def has_term(hay: Column, term: str, mode: str) -> Column:
 def has_any(hay: Column, terms: list[str], mode: str) -> Column:
     if not terms:
         return F.lit(False)
+    if len(terms) >= MANY:
+        return F.size(terms_in(hay, terms, mode)) > 0
     if mode == "word":
         return hay.rlike(rf"\b(?:{'|'.join(phrase(folded(t)) for t in terms)})\b")
     return reduce(or_, (has_term(hay, t, mode) for t in terms))
 
 
+def terms_in(hay: Column, terms: list[str], mode: str) -> Column:
+    """The terms that folded text has, as they are written in the list and in its order."""
+    if len(terms) >= MANY:
+        return automaton.terms_in(hay, terms, [folded(t) for t in terms], mode)
+    return F.array_compact(F.array(*[F.when(has_term(hay, t, mode), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+
+
 @dataclass(frozen=True)
 class Locations:
     include: list[str]
@@ -90,6 +104,9 @@ def apply(f: Filters, exact: bool = False) -> Column:
     place = normalize(F.coalesce(F.col("location"), F.lit("")), exact)
     k = f.keywords
     hay = normalize(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in k.fields]), exact)
+    places = [f.locations, *map(f.locations.effective, f.locations.by_contract_type)]
+    if max(len(t) for t in (k.include, k.exclude, *(t for p in places for t in (p.include, p.exclude)))) >= MANY:
+        return _judged(f, place, hay)  # the automaton works on columns, not within functions of them
     return bind(F.struct(place.alias("place"), hay.alias("hay")), lambda x: _judged(f, x["place"], x["hay"]))
 
 
@@ -98,7 +115,7 @@ def _judged(f: Filters, place: Column, hay: Column) -> Column:
     for kind in f.locations.by_contract_type:
         where = F.when(F.col("contract_type") == kind, location_reason(f.locations.effective(kind), place)).otherwise(where)
     k = f.keywords
-    hits = F.array_compact(F.array(*[F.when(has_term(hay, t, k.match_mode), F.lit(t)) for t in k.include])) if k.include else F.array().cast("array<string>")
+    hits = terms_in(hay, k.include, k.match_mode)
     want = {"any": 1, "all": len(k.include)}[k.require] if k.include else 0
     type_bad = ~F.coalesce(F.col("contract_type").isin(f.contract_types), F.lit(False))
     shut = has_any(hay, k.exclude, k.match_mode)

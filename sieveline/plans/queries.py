@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.identity import fingerprint, job_id
-from ..operators import discovery, extract, filters, health, publish, robots, urls, verdict
+from ..operators import automaton, discovery, extract, filters, health, publish, robots, urls, verdict
 from ..operators.classify import Lexicon, contract_type
-from ..sources import layers, paged, scratch
+from ..sources import delivery, layers, paged, scratch
 from ..sources.vendors import parse
 from ..streaming import stateful
 
@@ -150,7 +150,20 @@ def q11_classify_title(spark, sf):
     return postings(spark, sf).select("seq", contract_type(LEXICON, windows=False).alias("contract_type"))
 
 
-@query()
+_TOKENS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
+_OFFER = " OR ".join(_word("around", w) for w in ("est", "is"))
+
+
+@query(
+    _TITLE
+    + f""", e AS (SELECT seq, {_APO('description')} AS d FROM p),
+t AS (SELECT seq, d, unnest(regexp_extract_all(d, {_TOKENS})) AS tok, generate_subscripts(regexp_extract_all(d, {_TOKENS}), 1) AS i FROM e),
+s AS (SELECT seq, d, tok, sum(length(tok)) OVER (PARTITION BY seq ORDER BY i) - length(tok) AS start FROM t),
+w AS (SELECT seq, tok, substr(d, (greatest(start - 60, 0) + 1)::BIGINT, (least(start, 60) + length(tok) + 60)::BIGINT) AS around FROM s WHERE tok IN ('license', 'ai', 'the')),
+n AS (SELECT seq, bool_or(tok = 'license') AS a, bool_or(tok = 'ai') AS b, bool_or(tok = 'the') AS c FROM w WHERE {_OFFER} GROUP BY seq)
+SELECT m.seq, CASE WHEN x THEN 'apprenticeship' WHEN y OR (k AND z) THEN 'internship' WHEN coalesce(a, false) THEN 'apprenticeship' WHEN coalesce(b, false) OR (k AND coalesce(c, false)) THEN 'internship' ELSE 'other' END AS contract_type
+FROM m LEFT JOIN n ON m.seq = n.seq"""
+)
 def q12_classify_window(spark, sf):
     return postings(spark, sf).select("seq", contract_type(LEXICON).alias("contract_type"))
 
@@ -815,3 +828,33 @@ def q80_streamed_verdicts(spark, sf):
         for k, v in held.items():
             spark.conf.set(k, v)
     return spark.read.parquet(f"{root}/out").where((F.col("kind") == "verdict") & (F.col("polled_at") == now())).select("seq", "job_id", "verdict")
+
+
+_VOCABULARY = r"SELECT DISTINCT unnest(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark".format(norm("text"))
+
+
+@query(
+    rf"""WITH v AS (SELECT w FROM ({_VOCABULARY}) WHERE length(w) >= 4),
+d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({norm('text')}, '[\p{{L}}\p{{N}}_]+')) AS w FROM documents),
+h AS (SELECT doc_id, count(*)::BIGINT AS n_terms, string_agg(w, ' ' ORDER BY w) AS terms FROM d JOIN v USING (w) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(terms, '') AS terms FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id"""
+)
+def q81_many_terms(spark, sf):
+    """Which of the benchmark's words each document has: a vocabulary of thousands of terms, found in one pass."""
+    words = F.explode(F.regexp_extract_all(t.normalize(F.col("text")), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    v = table(spark, sf, "benchmark").select(words.alias("w")).where(F.length("w") >= 4).distinct()
+    terms = sorted(r[0] for r in v.limit(automaton.MAX_TERMS + 1).collect())  # a vocabulary is configuration; more than the bound is an error
+    hits = automaton.terms_in(t.normalize(F.col("text")), terms, terms, "word")
+    d = table(spark, sf, "documents").select("doc_id", hits.alias("h"))
+    return d.select("doc_id", F.size("h").cast("long").alias("n_terms"), F.array_join(F.array_sort("h"), " ").alias("terms"))
+
+
+@query(_B + f" SELECT job_id, CASE WHEN publish_pending = 1 AND disappeared_at IS NULL THEN {NOW_SQL} ELSE published_at END AS published_at, CASE WHEN publish_pending = 1 AND disappeared_at IS NULL THEN 0 ELSE publish_pending END::INTEGER AS publish_pending FROM j")
+def q82_sink_delivery(spark, sf):
+    """All that is pending goes through the sink, whose tasks confirm what they sent; only that is marked."""
+    d, jobs, _ = _judged(spark, sf)
+    root = scratch.folder(spark, "delivery")
+    verdict.next_jobs(d, jobs, now()).write.parquet(f"{root}/jobs")
+    jobs = spark.read.parquet(f"{root}/jobs")
+    sent = delivery.deliver(verdict.pending(jobs), F.col("job_id"), F.to_json(F.struct("title", "url")), f"{root}/sent", "accepting", lanes=8)
+    return verdict.mark_published(jobs, sent, now()).select("job_id", "published_at", "publish_pending")
