@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import url_host, vendor_domain
+from ..functions.text import bare_host, url_host, vendor_domain
+from ..sources import scratch
 from .extract import CAREERS, careers_links, locs, ranked
 from .urls import first_of_each, is_job_url
 
@@ -143,6 +144,49 @@ def walk(sites: DataFrame, pages: DataFrame, most: int = 8) -> DataFrame:
     return sites.select("company", "website").join(best, key, "left").select("company", "website", "f.ats", "f.identifier", "f.url")
 
 
+def frontier(sites: DataFrame, pages: DataFrame, budget: int = 8, rounds: int = 6) -> DataFrame:
+    """sites (company, website), pages (url, html) -> a row per company: ats, identifier, the page that told (url) and its depth.
+
+    Breadth first, from the root: each round visits the addresses that are new to the company, by an anti-join, in the order of the links that
+    led there, as long as its host's budget lasts; then follows the careers links of those pages. It ends when nothing
+    new is left, so pages that link to each other do no harm. A company that has told is not walked on. Each round is written,
+    so that no plan grows with the rounds.
+    """
+    spark, root = sites.sparkSession, scratch.folder(sites.sparkSession, "walk")
+    p, key = pages.select("url", "html"), ["company"]
+    edge = sites.select("company", F.regexp_replace("website", "/+$", "").alias("url"), F.lit("").alias("place"))
+    visited = told = None
+    for depth in range(rounds + 1):
+        edge = edge.groupBy("company", "url").agg(F.min("place").alias("place")).withColumn("host", bare_host(F.col("url")))
+        edge = edge.withColumn("__n", F.row_number().over(W.partitionBy("company", "host").orderBy("place", "url")))
+        if visited is not None:
+            used = visited.groupBy("company", "host").agg(F.count("*").alias("used"))
+            edge = edge.join(visited.select("company", "url"), ["company", "url"], "left_anti").join(used, ["company", "host"], "left")
+            edge = edge.withColumn("__n", F.row_number().over(W.partitionBy("company", "host").orderBy("place", "url")) + F.coalesce("used", F.lit(0)))
+        edge.where(F.col("__n") <= budget).select("company", "url", "place", "host").write.parquet(f"{root}/visited/depth={depth}")
+        visited = spark.read.parquet(f"{root}/visited")
+        new = spark.read.parquet(f"{root}/visited/depth={depth}")
+        if depth and new.isEmpty():
+            break
+        seen = new.join(p, "url")
+        seen.withColumn("f", detect(F.col("html"), F.col("url"))).where("f.ats IS NOT NULL").select("company", "f.ats", "f.identifier", "url", "place").write.parquet(f"{root}/told/depth={depth}")
+        told = spark.read.parquet(f"{root}/told")
+        on = seen.join(told.select("company").distinct(), "company", "left_anti")
+        links = careers_links(on, [*key, "place"], (*CAREERS, *LISTINGS))
+        edge = links.select("company", F.col("link").alias("url"), F.concat("place", F.lpad(F.col("n").cast("string"), 6, "0")).alias("place"))
+    best = told.groupBy("company").agg(F.min_by(F.struct("ats", "identifier", "url", "depth"), F.struct("depth", "place")).alias("f"))
+    return sites.select("company", "website").join(best, key, "left").select("company", "website", "f.ats", "f.identifier", "f.url", F.col("f.depth").cast("int").alias("depth"))
+
+
+def resolved(sites: DataFrame, pages: DataFrame, files: DataFrame, budget: int = 8, rounds: int = 6, samples: int = 3) -> DataFrame:
+    """The whole walk: sites (company, website, sitemap) by their pages, then those that tell nothing by their sitemaps (files: url, text)."""
+    walked = frontier(sites, pages, budget, rounds)
+    open_ = sites.join(walked.where("ats IS NULL").select("company"), "company", "left_semi")
+    last = sitemap_board(open_.select("company", "sitemap"), files, pages, samples).select("company", F.col("ats").alias("__ats"), F.col("identifier").alias("__id"))
+    m = walked.join(last, "company", "left")
+    return m.select("company", "website", F.coalesce("ats", "__ats").alias("ats"), F.coalesce("identifier", "__id").alias("identifier"), F.when(F.col("ats").isNotNull(), "page").when(F.col("__ats").isNotNull(), "sitemap").alias("told_by"), "depth")
+
+
 def sitemap_board(sites: DataFrame, files: DataFrame, pages: DataFrame, samples: int = 3) -> DataFrame:
     """The last resort: sites (company, sitemap) whose first posting pages (of `samples`) have a posting's JSON-LD -> (company, ats, identifier)."""
     found = sitemap_pages(sites, files, ["company"]).where(is_job_url(F.col("url")))

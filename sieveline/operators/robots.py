@@ -34,17 +34,25 @@ def url_target(url: Column) -> Column:
     return F.concat(F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def literal(rule: Column) -> Column:
+    """What a rule's matches begin with: its path up to the first `*`, or without a last `$`."""
+    return F.regexp_replace(F.substring_index(rule, "*", 1), r"\$$", "")
+
+
 def decided(urls: DataFrame, rule_table: DataFrame, key: list[str], host: list[str] | None = None) -> DataFrame:
     """urls (key, url[, host]) -> with allowed. The longest matching rule wins, allow wins ties, no rule allows.
 
-    With host columns this is an equi-join; a rule table without hosts is a small literal one and is broadcast.
+    Rules are found by an equi-join of what they begin with, and host columns if there are any: an address has a row for each
+    length of such beginnings (as many as there are different ones), not for each rule. Patterns are tried only on rules
+    that are more than their beginning.
     """
+    r = rule_table.select(*(host or []), literal(F.col("path")).alias("__start"), path_pattern(F.col("path")).alias("__p"), F.length("path").alias("__len"), F.col("allow").alias("__allow"), F.col("path").rlike(r"\*|\$$").alias("__open"))
+    lengths = sorted(x[0] for x in r.select(F.length("__start")).distinct().collect())  # not more than the longest rule has characters
     u = urls.withColumn("__target", url_target(F.col("url")))
-    r = rule_table.select(*(host or []), path_pattern(F.col("path")).alias("__p"), F.length("path").alias("__len"), F.col("allow").alias("__allow"))
-    hit = F.expr("__target RLIKE __p")
-    if host:
-        m = u.join(r, host, "left").withColumn("__hit", F.coalesce(hit, F.lit(False)))
-    else:
-        m = u.join(F.broadcast(r), hit, "left").withColumn("__hit", F.col("__p").isNotNull())
-    best = F.max_by(F.when(F.col("__hit"), F.col("__allow")), F.when(F.col("__hit"), F.struct("__len", "__allow")))
+    short = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("__target"))
+    u = u.select(*dict.fromkeys([*key, *(host or [])]), "__target", F.explode_outer(short).alias("__n"))
+    u = u.withColumn("__start", F.substring("__target", F.lit(1), F.col("__n")))
+    m = u.join(r, [*(host or []), "__start"], "left")
+    hit = F.col("__allow").isNotNull() & (~F.col("__open") | F.expr("__target RLIKE __p"))
+    best = F.max_by(F.when(hit, F.col("__allow")), F.when(hit, F.struct("__len", "__allow")))
     return m.groupBy(*key).agg(F.coalesce(best, F.lit(True)).alias("allowed"))

@@ -858,3 +858,22 @@ def q82_sink_delivery(spark, sf):
     jobs = spark.read.parquet(f"{root}/jobs")
     sent = delivery.deliver(verdict.pending(jobs), F.col("job_id"), F.to_json(F.struct("title", "url")), f"{root}/sent", "accepting", lanes=8)
     return verdict.mark_published(jobs, sent, now()).select("job_id", "published_at", "publish_pending")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'sitemap_jsonld' END AS ats, CASE doc_id % 5 WHEN 0 THEN 'b' || doc_id WHEN 1 THEN 'b' || doc_id WHEN 2 THEN 'https://b' || doc_id || '.example/sitemap.xml' END AS identifier, CASE WHEN doc_id % 5 < 2 THEN 'page' WHEN doc_id % 5 = 2 THEN 'sitemap' END AS told_by, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 END::INTEGER AS depth FROM documents")
+def q83_frontier(spark, sf):
+    """A company for each document: told by the root, three links on (from pages that link back), by the sitemap's posting pages, or not at all; a fifth of them beyond the budget."""
+    d = table(spark, sf, "documents")
+    k, site = F.col("doc_id") % 5, F.concat(F.lit("https://b"), _id(), F.lit(".example"))
+    sites = d.select(_id().alias("company"), site.alias("website"), F.concat(site, F.lit("/sitemap.xml")).alias("sitemap"))
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit('<a href="/jobs/'), i, F.lit('">jobs</a>'))), "")
+    root = F.when(k == 0, F.concat(F.lit("https://boards.greenhouse.io/b"), _id())).when(k == 4, more).otherwise('<a href="/careers/a">Careers</a>')
+    page = lambda path, html: d.select(F.concat(site, F.lit(path)).alias("url"), html.alias("html"))
+    board = F.when(k == 1, F.concat(F.lit("https://jobs.lever.co/b"), _id())).otherwise("none")
+    pages = d.select(site.alias("url"), root.alias("html"))
+    pages = pages.unionByName(page("/careers/a", F.lit('<a href="/careers/b">jobs</a> <a href="/careers/a">careers</a>'))).unionByName(page("/careers/b", F.lit('<a href="/careers/a">careers</a><a href="/jobs/c">jobs</a>'))).unionByName(page("/jobs/c", board))
+    pages = pages.unionByName(page("/jobs/9", F.concat(F.lit("https://jobs.lever.co/b"), _id()))).unionByName(page("/job/x-12345", F.lit('<script type="application/ld+json">{"@type": "JobPosting"}</script>')))
+    pages = pages.unionByName(d.select(F.concat(site, F.lit("/jobs/"), F.explode(F.sequence(F.lit(1), F.lit(6)))).alias("url"), F.lit('<a href="/jobs/9">jobs</a>').alias("html")))
+    files = d.select(F.concat(site, F.lit("/sitemap.xml")).alias("url"), F.when(k == 2, F.concat(F.lit("<urlset><url><loc>"), site, F.lit("/job/x-12345</loc></url></urlset>"))).otherwise("<urlset></urlset>").alias("text"))
+    out = discovery.resolved(sites, pages, files, budget=7)
+    return out.select(F.col("company").cast("long").alias("doc_id"), "ats", "identifier", "told_by", "depth")
