@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import bare_host, normalize, resolve, strip_html
+from ..functions.text import bare_host, bind, normalize, resolve, strip_html
 from .urls import contains_any
 
 #: Words of careers links, their phrases, and hosts of boards.
@@ -54,8 +54,9 @@ def careers_links(pages: DataFrame, key: list[str], words=CAREERS, cap: int = 6,
     a = anchors(pages.select(*key, "url", "html")).where(~F.col("href").rlike("^(#|mailto:|tel:|javascript:)") & (F.col("href") != ""))
     a = a.withColumn("link_text", strip_html(F.col("inner"), exact))
     fold = lambda c: F.replace(normalize(c, exact), F.lit("’"), F.lit("'"))
-    text = fold(F.col("link_text"))
-    a = a.where(contains_any(fold(F.col("href")), words) | contains_any(text, words) | contains_any(text, CAREERS_PHRASES))
+    # folded once each, however many words are looked for
+    both = F.struct(fold(F.col("href")).alias("href"), fold(F.col("link_text")).alias("text"))
+    a = a.where(bind(both, lambda x: contains_any(x["href"], words) | contains_any(x["text"], words) | contains_any(x["text"], CAREERS_PHRASES)))
     a = a.withColumn("link", resolve(F.col("url"), F.col("href")) if exact else absolute(F.col("url"), F.col("href"))).where(F.col("link").rlike("^https?://"))
     a = a.where((bare_host(F.col("link")) == bare_host(F.col("url"))) | bare_host(F.col("link")).isin(*BOARD_HOSTS))
     a = a.withColumn("__d", F.row_number().over(W.partitionBy(*key, "link").orderBy("pos"))).where("__d = 1")
@@ -64,7 +65,8 @@ def careers_links(pages: DataFrame, key: list[str], words=CAREERS, cap: int = 6,
 
 def ranked(links: DataFrame, key: list[str], prefers: tuple[str, ...], take: int = 2) -> DataFrame:
     """Links that look like listings first, else in their order; the first `take`."""
-    likes = contains_any(normalize(F.col("link")), prefers) | contains_any(normalize(F.col("link_text")), prefers)
+    both = F.struct(normalize(F.col("link")).alias("link"), normalize(F.col("link_text")).alias("text"))
+    likes = bind(both, lambda x: contains_any(x["link"], prefers) | contains_any(x["text"], prefers))
     return links.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy((~likes).cast("int"), "pos"))).where(F.col("rank") <= take)
 
 

@@ -873,7 +873,33 @@ def q83_frontier(spark, sf):
     pages = d.select(site.alias("url"), root.alias("html"))
     pages = pages.unionByName(page("/careers/a", F.lit('<a href="/careers/b">jobs</a> <a href="/careers/a">careers</a>'))).unionByName(page("/careers/b", F.lit('<a href="/careers/a">careers</a><a href="/jobs/c">jobs</a>'))).unionByName(page("/jobs/c", board))
     pages = pages.unionByName(page("/jobs/9", F.concat(F.lit("https://jobs.lever.co/b"), _id()))).unionByName(page("/job/x-12345", F.lit('<script type="application/ld+json">{"@type": "JobPosting"}</script>')))
-    pages = pages.unionByName(d.select(F.concat(site, F.lit("/jobs/"), F.explode(F.sequence(F.lit(1), F.lit(6)))).alias("url"), F.lit('<a href="/jobs/9">jobs</a>').alias("html")))
+    many = d.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i"))
+    pages = pages.unionByName(many.select(F.concat(site, F.lit("/jobs/"), "i").alias("url"), F.lit('<a href="/jobs/9">jobs</a>').alias("html")))
     files = d.select(F.concat(site, F.lit("/sitemap.xml")).alias("url"), F.when(k == 2, F.concat(F.lit("<urlset><url><loc>"), site, F.lit("/job/x-12345</loc></url></urlset>"))).otherwise("<urlset></urlset>").alias("text"))
     out = discovery.resolved(sites, pages, files, budget=7)
     return out.select(F.col("company").cast("long").alias("doc_id"), "ats", "identifier", "told_by", "depth")
+
+
+@query("""WITH d AS (SELECT *, doc_id // 20 AS board, split_part(text, chr(10), 1) AS title, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT CASE board % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'ashby' ELSE 'smartrecruiters' END AS vendor, 'b' || board AS company, pos::INTEGER AS pos, doc_id::VARCHAR AS external_id, title, lang AS location, CASE WHEN board % 3 < 2 THEN sha256(text) ELSE sha256('') END AS description_sha256
+FROM d WHERE pos % 5 <> 3 AND trim(title) <> ''""")
+def q84_whole_boards(spark, sf):
+    """Boards of twenty documents each: their texts as descriptions, their order, and bad entries between the good ones."""
+    d = table(spark, sf, "documents").withColumn("board", F.expr("doc_id div 20")).withColumn("title", F.split("text", "\n", 2)[0])
+    d = d.withColumn("n", F.row_number().over(W.partitionBy("board").orderBy("doc_id")) - 1)
+    url = F.concat(F.lit("https://x.example/"), _id())
+    lever = F.to_json(F.struct(_id().alias("id"), F.col("title").alias("text"), url.alias("hostedUrl"), F.col("text").alias("descriptionPlain"), F.struct(F.col("lang").alias("location")).alias("categories")))
+    ashby = F.to_json(F.struct(_id().alias("id"), "title", url.alias("jobUrl"), F.col("lang").alias("location"), F.col("text").alias("descriptionPlain")))
+    smart = F.to_json(F.struct(_id().alias("id"), F.col("title").alias("name"), F.struct(F.col("lang").alias("fullLocation")).alias("location")))
+    kind = F.col("board") % 3
+    bad = F.when(kind == 0, F.lit('"bad"')).when(kind == 1, F.lit("[5]")).otherwise('{"id": "x", "name": null}')
+    entry = F.when(F.col("n") % 5 == 3, bad).when(kind == 0, lever).when(kind == 1, ashby).otherwise(smart)
+    boards = d.groupBy("board").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))), lambda x: x["e"]), ",").alias("es"))
+    wrap = lambda a, b: F.concat(F.lit(a), "es", F.lit(b))
+    payload = F.when(kind == 0, wrap("[", "]")).when(kind == 1, wrap('{"jobs": [', "]}")).otherwise(wrap('{"totalFound": 20, "content": [', "]}"))
+    raw = boards.select(F.lit("docs").alias("source"), F.concat(F.lit("b"), "board").alias("company"), "board", payload.alias("payload"))
+    out = None
+    for i, vendor in enumerate(("lever", "ashby", "smartrecruiters")):
+        p = parse(raw.where(F.col("board") % 3 == i), vendor).select(F.lit(vendor).alias("vendor"), "company", F.col("pos").cast("int").alias("pos"), "external_id", "title", "location", F.sha2("description", 256).alias("description_sha256"))
+        out = p if out is None else out.unionByName(p)
+    return out
