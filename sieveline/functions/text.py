@@ -53,10 +53,12 @@ def _expanded(x: Column) -> Column:
     more = fold_tables()[2]
     syllable = (F.lit(chr(HANGUL[0])), F.lit(chr(HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3] - 1)))
     table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
-    # one look-up for each character tells whether there are any; a class of hundreds of ranges is much slower
+    # one look-up for each character tells whether there are any; a class of hundreds of ranges is much slower, so a class of
+    # the few in the first blocks, and of all the rest, only spares most texts that
+    first = "".join(sorted(c for c in more if c < "\u0250"))
     many = "".join([*more, *map(chr, range(HANGUL[0], HANGUL[0] + HANGUL[1] * HANGUL[2] * HANGUL[3]))])
     one = lambda c: F.when(F.octet_length(c) < 2, c).when(c.between(*syllable), _jamo(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))
-    return F.when(F.length(F.translate(x, many, "")) != F.length(x), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
+    return F.when(x.rlike(f"[{first}\u0250-\U0010ffff]") & (F.length(F.translate(x, many, "")) != F.length(x)), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x)
 
 
 def bind(x: Column, f) -> Column:
@@ -143,10 +145,22 @@ def unescape_in_jvm(x: Column) -> Column:
 BLOCK_TAG, ANY_TAG = r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6])\b[^>]*>", r"<[^>]+>"
 
 
-def strip_html(x: Column, exact: bool = False) -> Column:
-    """Block tags break lines, other tags go, then entities are unescaped; lines are squeezed and empty ones go. exact: entities through Python, as a check."""
+def unescape_known(x: Column, known: dict[str, str]) -> Column:
+    """The entities of a table alone, written as they are there; what one gives is not read again."""
+    last = "&amp;"
+    for entity in sorted(known, key=lambda k: k == last):
+        x = F.replace(x, F.lit(entity), F.lit(known[entity]))
+    return x
+
+
+def strip_html(x: Column, exact: bool = False, known: dict[str, str] | None = None) -> Column:
+    """Block tags break lines, other tags go, then entities are unescaped; lines are squeezed and empty ones go.
+
+    exact: entities through Python, as a check. known: the only entities that count, with their characters; by default all of
+    HTML do, also those that it allows without their semicolon.
+    """
     t = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), BLOCK_TAG, "\n"), ANY_TAG, "")
-    t = unescape(t) if exact else unescape_in_jvm(t)
+    t = unescape_known(t, known) if known is not None else unescape(t) if exact else unescape_in_jvm(t)
     lines = F.transform(F.split(t, r"\R|[\x1c-\x1e]"), lambda s: F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
