@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -22,3 +22,9 @@ def folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, path, True)
             root = spark._sieveline_scratch = "file://" + path
     return f"{root}/sieveline/{uuid.uuid4().hex}/{name}"
+
+
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written to files once and read from there."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

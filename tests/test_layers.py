@@ -83,3 +83,16 @@ def test_replay_starts_from_the_layers_before(spark, tmp_path):
     assert store.read("jobs").count() == 7
     store.write("d", {"jobs": rows_of(spark, [])})
     assert store.read("jobs").count() == 7
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    store = layers.Layers(spark, f"file://{tmp_path}/s", buckets=4)
+    b, now = batch(spark, random.Random(4), 40, 0, 30, "2024-01-05")
+    made = spark.sparkContext.accumulator(0)
+
+    def folded(x):
+        made.add(1)
+        return x
+
+    judged = layers.advance(store, "a", b.withColumn("content_fingerprint", F.udf(folded, "string")("content_fingerprint")), now)
+    assert made.value == 40 and judged.count() == 40
