@@ -781,3 +781,12 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     packed = stages["best_fit_packing"](spark, mixed, sf).collect()
     assert sum(p.length for p in packed) == sum(len(tk.encode(x.text or "", add_special_tokens=False).ids) + 1 for x in mixed.collect())
     assert {(p.doc_id, p.length) for p in packed} == {(p.doc_id, p.length) for p in cp.run(spark, sf).collect()}
+
+
+def test_all_chains_over_the_same_words_are_asked_for():
+    """Ten smaller documents share three short seeds each with the same forty words, in other places."""
+    seeds = [(x, other) for other in range(10) for x in (0, 15, 30)]
+    x, other = (np.array(c, np.int64) for c in zip(*seeds, strict=True))
+    y, none = x + 100 + other, np.zeros(len(x), np.int64)
+    rows = passages.chains_of(50, np.full(len(x), passages.SHORT), x, 6 * x, none, other, y, 6 * y, none, 5, 44, 2)
+    assert Counter(r[1] for r in rows if r[2] >= 0) == Counter(range(10))
